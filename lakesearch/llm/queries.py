@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import dedup, quality
+from . import decontaminate, dedup, mixing, quality, sharding
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op4_near_duplicates": dedup.op4_near_duplicates,
+    "op6_sharding": sharding.op6_sharding,
+    "op8_source_mixing": mixing.op8_source_mixing,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
