@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dedup, mixing, quality, sharding
+from . import ctw, decontaminate, dedup, langid, mixing, quality, sharding
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_language_id": langid.op2_language_id,
     "op4_near_duplicates": dedup.op4_near_duplicates,
+    "op5_lm_scoring": ctw.op5_lm_scoring,
     "op6_sharding": sharding.op6_sharding,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_quality_rules": quality.op9_quality_rules,
