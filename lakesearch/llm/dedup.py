@@ -1,20 +1,20 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-Signatures of `HASHES` minima are cut into `BANDS` bands of `ROWS`; two sets meet
-if a band is equal.  With the standard 24 x 4, a pair at similarity 0.85 misses
+The first minima are cut into `bands` bands of `rows`; two sets meet if a band is
+equal.  With the standard 24 x 4, a pair at similarity 0.85 misses
 every band with probability (1 - 0.85**4)**24 = 8e-8.
 
 Equal shingle sets are one node.  In every band's bucket the most central node
 (the one in the fullest buckets) is compared with the rest, so a group of m
 copies gives m - 1 pairs and not m * m / 2.  Confirmed pairs are joined into
 components; then only pairs whose ends are in different components by now are
-compared, in blocks of at most `BLOCK` x `BLOCK` nodes, each pair in the first
+compared, in blocks of at most `block` x `block` nodes, each pair in the first
 band that holds it.  So no pair is left out, and none is looked at in vain.
 
-A comparison reads the signatures batch by batch.  After each, the posterior
-probability that the similarity reaches the threshold (uniform prior, so a Beta)
-must be over `MISS`, or the pair is dropped; what is left is confirmed on the
-full sets, so no unconfirmed pair is ever linked.
+A comparison reads the signatures, `hashes` minima of a byte each, batch by batch.
+After each, the posterior probability that the similarity reaches the threshold
+(uniform prior) must be over `miss`, or the pair is dropped; what is left is
+confirmed on the full sets, so no unconfirmed pair is ever linked.
 
 Nulls, empty texts and texts without words have the empty set and are linked
 with nothing.  Rows that share a doc_id are equal in the result; a null doc_id
@@ -28,7 +28,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +43,8 @@ class Plan:
     percent: int = 80
     bands: int = 24
     rows: int = 4
-    hashes: int = 256
-    batch: int = 32
+    hashes: int = 1024
+    batch: int = 64
     miss: float = 5e-5
     block: int = 1024
 
@@ -80,16 +79,16 @@ def _sequence(words: np.ndarray) -> int:
     return int(C.mix(np.array([h], C.U))[0])
 
 
-def signatures(grams: np.ndarray, bounds: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """Minima lo to hi of each row; rows without shingles get the largest value."""
+def signatures(grams: np.ndarray, bounds: np.ndarray, n: int, kind: type = np.uint32) -> np.ndarray:
+    """The n minima of each row, or their lowest byte; rows without shingles get the largest value."""
     full = np.flatnonzero(np.diff(bounds) > 0)
-    out = np.full((len(bounds) - 1, hi - lo), 0xFFFFFFFF, np.uint32)
+    out = np.full((len(bounds) - 1, n), 0xFFFFFFFF, np.uint32).astype(kind)
     if len(full):
         at = bounds[:-1][full]
-        for i, m in enumerate(_multipliers(hi)[lo:hi]):
+        for i, m in enumerate(_multipliers(n)):
             h = grams * m
             h ^= h >> C.U(29)
-            out[full, i] = np.minimum.reduceat((h * C.U(0xBF58476D1CE4E5B9)) >> C.U(32), at).astype(np.uint32)
+            out[full, i] = (np.minimum.reduceat(h * C.U(0xBF58476D1CE4E5B9), at) >> C.U(32)).astype(kind)
     return out
 
 
@@ -97,10 +96,11 @@ def signatures(grams: np.ndarray, bounds: np.ndarray, lo: int, hi: int) -> np.nd
 def least_matches(plan: Plan) -> tuple[tuple[int, int], ...]:
     """After so many hashes, fewer matches than this leave a posterior of at most `miss`."""
     x = np.linspace(0, 1, 4001)[1:-1]
+    meet = x + (1 - x) / 256  # two minima can differ and yet have the same byte
     out = []
     for n in range(plan.batch, plan.hashes + 1, plan.batch):
         for m in range(n + 1):
-            log = m * np.log(x) + (n - m) * np.log1p(-x)
+            log = m * np.log(meet) + (n - m) * np.log1p(-meet)
             p = np.exp(log - log.max())
             if p[x >= plan.percent / 100].sum() > plan.miss * p.sum():
                 out.append((n, m))
@@ -108,14 +108,16 @@ def least_matches(plan: Plan) -> tuple[tuple[int, int], ...]:
     return tuple(out)
 
 
-def survivors(a: np.ndarray, b: np.ndarray, plan: Plan) -> np.ndarray:
-    """Which of the paired signatures stay after sequential pruning."""
-    left = np.arange(len(a))
-    seen, matches = 0, np.zeros(len(a), np.int32)
+def survivors(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, plan: Plan) -> np.ndarray:
+    """Which of the pairs a[i], b[j] of signatures stay after sequential pruning."""
+    left = np.arange(len(i))
+    seen, matches = 0, np.zeros(len(i), np.int32)
     for n, least in least_matches(plan):
-        matches = matches + (a[left, seen:n] == b[left, seen:n]).sum(1, dtype=np.int32)
+        matches = matches + (a[i[left], seen:n] == b[j[left], seen:n]).sum(1, dtype=np.int32)
         stay = matches >= least
         left, matches, seen = left[stay], matches[stay], n
+        if not len(left):
+            break
     return left
 
 
@@ -131,7 +133,7 @@ def profile(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
             np.cumsum(C.mix(grams), out=total[0, 1:])
             np.cumsum(C.mix(grams ^ C.U(C.BASE)), out=total[1, 1:])
             h = total[:, at[1:]] - total[:, at[:-1]]
-            keys = _band_keys(signatures(grams, at, 0, plan.bands * plan.rows), plan)
+            keys = _band_keys(signatures(grams, at, plan.bands * plan.rows), plan)
             flat = pa.array(keys.ravel())
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * plan.bands), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), bands], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
@@ -140,29 +142,42 @@ def profile(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
-    """node, its full signature and its full set, as bytes."""
+    """node, its signature, its set (both as bytes) and its bands' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in C.chunks(batches, "_text"):
             grams, at = shingle_sets(data, bounds, plan.words)
-            sig = signatures(grams, at, 0, plan.hashes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([grams[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["node", "sig", "shingles"])
+            sig = signatures(grams, at, plan.hashes, np.uint8)
+            keys = _band_keys(signatures(grams, at, plan.bands * plan.rows), plan)
+            rows = [pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([grams[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in keys], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *rows], names=["node", "sig", "shingles", "keys"])
 
-    return docs.select(F.col(key).alias("node"), F.col(text).alias("_text")).mapInArrow(run, "node long, sig binary, shingles binary")
+    return docs.select(F.col(key).alias("node"), F.col(text).alias("_text")).mapInArrow(run, "node long, sig binary, shingles binary, keys binary")
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b) whose similarity holds: pruned on signatures first, confirmed on the full sets."""
+def _rows(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _prune(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) whose signatures leave the similarity possible."""
     sig = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
-    full = lambda x: nodes.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for i in (2, 3))
-                yield batch.select([0, 1]).take(pa.array(survivors(a, b, plan)))
+                every = np.arange(batch.num_rows)
+                stay = survivors(_rows(batch.column(2), np.uint8), _rows(batch.column(3), np.uint8), every, every, plan)
+                yield batch.select([0, 1]).take(pa.array(stay))
+
+    return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    full = lambda x: nodes.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stay = []
             for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
@@ -176,8 +191,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
                     stay.append(i)
             yield batch.select([0, 1]).take(pa.array(stay, pa.int64()))
 
-    left = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(prune, "a long, b long")
-    return left.join(full("a"), "a").join(full("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
+    return pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -217,13 +231,13 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", t
     centre = member.groupBy("bucket").agg(F.max_by("node", F.struct("rank", -F.col("node"))).alias("centre"))
     star = member.join(centre, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     star = C.save(star, "stars")
-    links = C.save(_confirm(star, sets, plan), "confirmed")
+    links = C.save(_confirm(_prune(star, sets, plan), sets, plan), "confirmed")
     label = components(links)
 
     # what is still apart, though in one bucket
     named = member.join(label, "node", "left").select("bucket", "node", "m", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    apart = _apart(named.join(mixed, "bucket").join(sets.select("node", "sig"), "node"), plan)
+    apart = _apart(named.join(mixed, "bucket").join(sets.select("node", "sig", "keys"), "node"), plan)
     more = C.save(_confirm(apart.join(star, ["a", "b"], "left_anti"), sets, plan), "confirmed")
     if not more.isEmpty():
         label = components(links.union(more))
@@ -243,27 +257,53 @@ def _apart(named: DataFrame, plan: Plan) -> DataFrame:
     parts = F.ceil(F.col("m") / plan.block)
     cut = named.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    tiled = cut.withColumn("other", other).select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "label", "sig")
-    width = plan.bands * plan.rows
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        bucket, p, q = int(group.bucket.iat[0]), int(group.p.iat[0]), int(group.q.iat[0])
-        sig = np.frombuffer(b"".join(group.sig), np.uint32).reshape(len(group), -1)
-        node, label, part = group.node.to_numpy(), group.label.to_numpy(), group.part.to_numpy()
-        # which band this bucket is of shows in its key
-        keys = _band_keys(sig[:, :width], plan)
-        band = int(np.argmax((keys == np.int64(bucket)).all(0)))
+    tiled = cut.withColumn("other", other).select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "label", "sig", "keys")
+    dealt = tiled.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+
+    def pairs(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        """The surviving pairs of whole groups, all at once."""
+        bucket, p, q, part, node, label = (table.column(i).to_numpy() for i in range(6))
+        sig, keys = _rows(table.column(6), np.uint8), _rows(table.column(7), np.int64)
+        band = (keys == bucket[:, None]).argmax(1)  # which band this bucket is of
+        end = np.searchsorted(group, group, "right")
         found = []
-        for i in range(len(group)):
-            j = np.flatnonzero((label != label[i]) & (node > node[i]) & ((p == q) | (part != part[i])))
-            if len(j):
-                earlier = (keys[j, :band] == keys[i, :band]).any(1) if band else np.zeros(len(j), bool)
-                j = j[~earlier]
-                j = j[survivors(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], plan)]
-                found += [(int(node[i]), int(x)) for x in node[j]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return tiled.groupBy("bucket", "p", "q").applyInPandas(run, "a long, b long")
+        rows = np.arange(len(group))
+        room = np.cumsum(end - rows - 1)
+        lo = 0
+        while lo < len(rows):  # some million pairs at a time
+            hi = max(lo + 1, int(np.searchsorted(room, (room[lo - 1] if lo else 0) + (1 << 20), "right")))
+            n = (end - rows - 1)[lo:hi]
+            i = np.repeat(rows[lo:hi], n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            ok = (label[i] != label[j]) & ((p[i] == q[i]) | (part[i] != part[j]))
+            i, j = i[ok], j[ok]
+            left = survivors(sig, sig, i, j, plan)
+            i, j = i[left], j[left]
+            first = (keys[i] == keys[j]).argmax(1)  # another bucket, of an earlier band, has the pair
+            i, j = i[first == band[i]], j[first == band[i]]
+            found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
+            lo = hi
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids = np.stack([table.column(i).to_numpy() for i in range(3)])
+            new = np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(0)])
+            last = int(np.flatnonzero(new)[-1])  # the last group may go on
+            if last:
+                yield pairs(table.slice(0, last).combine_chunks(), np.cumsum(new)[:last])
+            held = table.slice(last).combine_chunks().to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield pairs(table, np.zeros(len(table), np.int64))
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _band_keys(sig: np.ndarray, plan: Plan) -> np.ndarray:
