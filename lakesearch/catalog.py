@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import plans
+from .registry import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "A04_bm25"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "plans"]
