@@ -1,3 +1,3 @@
 """The registered queries, by family."""
 
-from . import evidence, ranking, texts, webpages
+from . import evidence, operations, ranking, texts, webpages
