@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
@@ -175,5 +175,15 @@ def running(df: DataFrame, group: str, order: list[str], value: str, spread: int
     return both.withColumn(out, F.col("_own") + F.col("_ahead")).drop("_own", "_ahead", "_group", "_at", "_slice")
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of `df` in one, `_row`, so that their names clash with none that an operator adds."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+
+
+def unpacked(df: DataFrame, columns: list[str], added: list[str]) -> DataFrame:
+    """The columns that `_row` holds, those the operator adds in place of any of the same name."""
+    return df.select(*(F.col("_row")[c].alias(c) for c in columns if c not in added), *added)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

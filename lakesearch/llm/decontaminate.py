@@ -168,7 +168,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: f
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """The rows of `docs` that leak no benchmark item."""
     found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_leak")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leak"]), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -317,7 +317,7 @@ def _band_keys(sig: np.ndarray, plan: Plan) -> np.ndarray:
 def keep_one(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """The rows of `docs` whose document is the first of its component."""
     kept = near_duplicates(docs, plan).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

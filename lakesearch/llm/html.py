@@ -197,20 +197,28 @@ _KNOWN = frozenset("#root html head body main article section div header footer
 
 
 def kinds(page: Page) -> list[str]:
-    """What an edge's potential depends on: the child's telling group or main marks, or its tag."""
-    out = []
-    for tag, groups in zip(page.tags, page.groups, strict=True):
-        if "hidden" in groups or groups & _TELLING:
-            out.append("telling-main" if "main" in groups else "telling")
-        elif tag in ("nav", "aside", "footer", "header", "form", "dialog", "button", "select", "noscript", "svg", "head", "menu"):
-            out.append(tag)
-        elif tag in ("article", "main") or "main" in groups:
-            out.append("main")
-        else:
-            out.append("box" if tag in ("div", "section", "body", "html", "table", "center") else "plain")
+    """What an edge's potential depends on: the child's telling group or main marks, or its tag, and whether what stands above tells."""
+    out: list[str] = []
+    for tag, groups, parent in zip(page.tags, page.groups, page.parent, strict=True):
+        above = out[parent] if parent >= 0 else ""
+        under = "<" if above[-1:] == "<" or above[:7] == "telling" or above in _FURNITURE else ""
+        out.append(_kind(tag, groups) + under)
     return out
 
 
+_FURNITURE = ("nav", "aside", "footer", "form")
+
+
+def _kind(tag: str, groups: frozenset[str]) -> str:
+    if "hidden" in groups or groups & _TELLING:
+        return "telling-main" if "main" in groups else "telling"
+    if tag in ("nav", "aside", "footer", "header", "form", "dialog", "button", "select", "noscript", "svg", "head", "menu"):
+        return tag
+    if tag in ("article", "main") or "main" in groups:
+        return "main"
+    return "box" if tag in ("div", "section", "body", "html", "table", "center") else "plain"
+
+
 @dataclass
 class Model:
     node: dict[str, float]
@@ -397,15 +405,22 @@ def _article(rng: random.Random) -> str:
     return "".join(out)
 
 
+def _brief(rng: random.Random) -> str:
+    """An article of a paragraph or two, with or without a heading."""
+    return f"<h1>{_words(rng, 1, 6)}</h1>" * rng.randint(0, 1) + "".join(f"<p>{_words(rng, 1, 9)}{rng.choice(['.', '.', ''])}</p>" for _ in range(rng.randint(1, 2)))
+
+
 def _page(rng: random.Random) -> str:
-    inner = _article(rng)
+    inner = _article(rng) if rng.random() < 0.85 else _brief(rng)
     if rng.random() < 0.12:
         inner += _junk(rng, rng.choice(["talk", "share", "foot"]))
     roll = rng.random()
     if roll < 0.5:
         main = f'<article data-y="1"{rng.choice(["", " class=post", " id=article"])}>{inner}</article>'
-    elif roll < 0.65:
+    elif roll < 0.6:
         main = f'<main data-y="1">{inner}</main>'
+    elif roll < 0.7:
+        main = f'<main{rng.choice(["", " id=main"])} data-y="1"><article>{inner}</article></main>'
     else:
         main = f'<div {rng.choice(["class", "id"])}="{rng.choice(["content", "post-content", "entry-content", "story-body", "article-body", "main", "main-content", "text"])}" data-y="1">{inner}</div>'
     before = [_junk(rng, k) for k in ("menu", "head", "ad", "note", "form", "side") if rng.random() < 0.4]

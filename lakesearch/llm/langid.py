@@ -165,6 +165,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
     """`docs` with lang_pred and score."""
     spark = docs.sparkSession
     C.small_batches(spark)
+    docs = docs.drop("lang_pred", "score")
     if net is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     shared = spark.sparkContext.broadcast(net)

@@ -88,7 +88,8 @@ def mix(docs: DataFrame, target_entropy: float = 0.95, max_repeats: float = 4.0,
     `budget_share` is the budget as a share of all tokens; None takes the largest
     budget that repeats no source more than `max_repeats` times.
     """
-    rows = docs.withColumn("_tokens", n_tokens(F.col(text))).withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
+    named = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+    rows = docs.select(C.packed(docs), F.col(key).alias("_key"), named.alias("_source"), n_tokens(F.col(text)).alias("_tokens"))
     sources = C.save(source_stats(rows.select("_source", "_tokens")), "sources")
     x = exponent(sources, target_entropy, max_repeats, budget_share)
     n_rows, total = sources.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.coalesce(F.sum("_total"), F.lit(0))).first()
@@ -104,17 +105,18 @@ def mix(docs: DataFrame, target_entropy: float = 0.95, max_repeats: float = 4.0,
     blocks = F.when(F.col("_total") > 0, F.floor(part / F.col("_total"))).otherwise(1).cast("long")
     plan = weights.select("_source", "_weight", blocks.alias("_blocks"), F.when(F.col("_total") > 0, part - blocks * F.col("_total")).otherwise(-1.0).alias("_rest"))
     spread = min(1 << 20, max(1, n_rows // PER_SLICE))
-    ready = rows.join(plan, "_source").withColumn("_order", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_blocks", F.col(key)), 4))
-    done = C.running(ready, "_source", ["_order", key, "_tokens"], "_tokens", spread, "_before")
+    ready = rows.join(plan, "_source").withColumn("_order", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_blocks", "_key"), 4))
+    done = C.running(ready, "_source", ["_order", "_key", "_tokens"], "_tokens", spread, "_before")
     inside = (F.col("_before") + F.col("_tokens")) <= F.col("_rest")
-    return done.withColumn("_copies", F.col("_blocks") + F.when(inside, 1).otherwise(0)).drop("_source", "_blocks", "_rest", "_order", "_before")
+    done = done.withColumn("_copies", F.col("_blocks") + F.when(inside, 1).otherwise(0))
+    return C.unpacked(done, docs.columns, ["_tokens", "_weight", "_copies"])
 
 
 def realise(docs: DataFrame, **options: object) -> DataFrame:
     """The mixture itself: each row of `docs` as often as it has copies, in the columns of `docs`."""
-    done = mix(docs, **options).where("_copies > 0")
-    once = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    return done.withColumn("_copy", once).select(*(F.col(f"`{c}`") for c in docs.columns))
+    done = mix(docs.select(C.packed(docs).alias("_whole"), "doc_id", "source", "text"), **options).where("_copies > 0")
+    once = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")
+    return done.select("_whole", once).select("_whole.*")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,9 +173,11 @@ def judge(data: np.ndarray, bounds: np.ndarray, rules: Rules, with_text: bool) -
 def quality(docs: DataFrame, text: str = "text", rules: Rules = Rules(), with_text: bool = True) -> DataFrame:
     """`docs` with one struct column `quality`: the counts, the verdicts and `clean_text`, the passing lines.
 
-    One pass over the rows, no shuffle.  `with_text=False` leaves `clean_text` null.
+    One pass over the rows, no shuffle.  `with_text=False` leaves `clean_text` out.  A column
+    of `docs` that is named `quality` itself gives way.
     """
     C.small_batches(docs.sparkSession)
+    docs = docs.drop("quality")
     fields = [f for f in FIELDS if with_text or f.name != "clean_text"]
     schema = T.StructType([*docs.schema.fields, T.StructField("quality", T.StructType(fields))])
     arrow = [pa.field(f.name, {"long": pa.int64(), "bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[f.dataType.simpleString()]) for f in fields]
@@ -194,9 +196,9 @@ def quality(docs: DataFrame, text: str = "text", rules: Rules = Rules(), with_te
 
 def keep_clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The kept documents, their failing lines removed, in the columns of `docs`; n_chars follows the text if it is there."""
-    done = quality(docs, rules=rules).where("quality.kept")
+    done = quality(docs.select(C.packed(docs), "text"), rules=rules).where("quality.kept")
     again = {"text": F.col("quality.clean_text"), "n_chars": F.length("quality.clean_text").cast("long")}
-    return done.select(*(again[c].alias(c) if c in again else F.col(f"`{c}`") for c in docs.columns))
+    return done.select(*(again[c].alias(c) if c in again else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, replicas: int = REPLICAS, load_
             cells.append((cell, lo, hi, arc))
             lo = hi
     table = F.broadcast(spark.createDataFrame(cells, "_cell long, _lo long, _hi long, _arc int"))
-    at = docs.withColumn("_place", place_of(F.col(key))).withColumn("_cell", F.shiftright("_place", width))
+    at = docs.select(C.packed(docs), F.col(key).alias("_key"), place_of(F.col(key)).alias("_place")).withColumn("_cell", F.shiftright("_place", width))
     at = at.join(table, (at["_cell"] == table["_cell"]) & (at["_place"] >= table["_lo"]) & (at["_place"] < table["_hi"])).drop("_cell", "_lo", "_hi")
 
     found = {r["_arc"]: r["n"] for r in at.groupBy("_arc").agg(F.count("*").alias("n")).collect()}
@@ -102,9 +102,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, replicas: int = REPLICAS, load_
     pieces = walk(counts, owners, quotas(n, shards, load_factor, owners))
     rows = F.broadcast(spark.createDataFrame(pieces, "_of long, _from long, _to long, _shard int, _first long"))
     spread = min(1 << 20, max(1, n // PER_SLICE))
-    ranked = C.running(at.withColumn("_one", F.lit(1)), "_arc", ["_place", key], "_one", spread, "_rank")
+    ranked = C.running(at.withColumn("_one", F.lit(1)), "_arc", ["_place", "_key"], "_one", spread, "_rank")
     done = ranked.join(rows, (F.col("_arc") == F.col("_of")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    return done.withColumn("_slot", F.col("_first") + F.col("_rank") - F.col("_from")).drop("_arc", "_place", "_one", "_rank", "_of", "_from", "_to", "_first")
+    return C.unpacked(done.withColumn("_slot", F.col("_first") + F.col("_rank") - F.col("_from")), docs.columns, ["_shard", "_slot"])
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
