@@ -1,7 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame functions only.
 
 A line is what stands between line feeds; lines are compared as their words, in
-lower case (A-Z), and lines without a word are kept and not counted.  Two lines are
+lower case, and lines without a word are kept and not counted.  Two lines are
 near if one word put in, left out or exchanged turns one into the other (an edit
 distance of at most one word) and both have `MIN_WORDS` words or more; shorter lines
 only meet exact copies.  A line goes if an earlier one, by doc_id and line number,
@@ -20,6 +20,9 @@ is equal or near, whether that one stays or not.
    found by a minimum, and no pair but (line, earliest) is formed; the word edit
    distance of these pairs is then verified on the words.
 
+Texts are split, normalised and hashed once; what follows reads the hashes, and the
+texts of only those documents where a class of step 2 first stands.
+
 A null text has no lines.  Rows that repeat a doc_id count as one document: a
 line number of theirs goes if it goes in any.  A null doc_id comes first.
 """
@@ -32,15 +35,23 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MIN_WORDS = 6
+SIEVE = 1 << 20
 SPACE = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def normal(line: Column) -> Column:
+    """The words of a line in lower case, joined by one space; the regular expression only where it is needed."""
+    low = F.lower(line)
+    odd = F.contains(low, F.lit("  ")) | F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c"))
+    return F.trim(F.when(odd, F.regexp_replace(low, SPACE, " ")).otherwise(low))
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line, norm (its words, joined by one space), n, h1, h2 of every line with a word."""
-    own = F.trim(F.regexp_replace(F.translate(F.col("raw"), UPPER, LOWER), SPACE, " "))
-    rows = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line", "raw")).select("doc_id", "line", own.alias("norm")).where("norm <> ''")
-    n = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    """doc_id, line, norm, n (its words), h1, h2 of every line with a word."""
+    # normalised inside the array, so that no later step repeats the expression
+    parts = F.transform(F.split(text, "\n", -1), normal)
+    rows = docs.select(F.col(key).alias("doc_id"), F.posexplode(parts).alias("line", "norm")).where("norm <> ''")
+    n = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
     return rows.withColumns({"n": n, "h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")})
 
 
@@ -51,30 +62,46 @@ def _halves(m: Column) -> list[Column]:
     return [F.xxhash64(F.lit("first"), m, part(h)), F.xxhash64(F.lit("last"), m, part(h - m))]
 
 
-def near_lines(rows: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """h1, h2 of the classes that go because an earlier one is near."""
-    place = F.struct("doc_id", "line")
+def hashed(docs: DataFrame, least: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, line, n, h1, h2 and k0 to k3, the keys of halves, of every line with a word; saved."""
     long_enough = F.col("n") >= least
     keys = [F.when(long_enough & (m >= least), k) for m in (F.col("n"), F.col("n") - 1) for k in _halves(m)]
-    classes = rows.where(long_enough).select("h1", "h2", "n", place.alias("place"), F.array(*keys).alias("keys"))
-    classes = C.save(classes.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    return C.save(lines(docs, key, text).select("doc_id", "line", "n", "h1", "h2", *(k.alias(f"k{i}") for i, k in enumerate(keys))), "lines")
+
+
+def cell(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SIEVE))
 
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """h1, h2, their first place, n and the keys of each class of equal lines; saved."""
+    firsts = [F.first(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3")]
+    return C.save(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("place"), *firsts), "classes")
+
+
+def near_lines(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """h1, h2 of the classes that go because an earlier one is near."""
     # side: 0 first half of n words, 1 last half of n, 2 first half of n - 1, 3 last half of n - 1
-    shared = classes.select("h1", "h2", F.posexplode("keys").alias("side", "key")).where("key is not null")
+    shared = classes.select("h1", "h2", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("side", "key")).where("key is not null")
     longer = (F.col("side") >= 2).cast("int")
     crowd = shared.groupBy("key").agg(F.sum(1 - longer).alias("equal"), F.sum(longer).alias("longer")).where("equal > 1 or (equal > 0 and longer > 0)")
     some = shared.join(crowd, "key").withColumn("exchange", (F.col("side") < 2) & (F.col("equal") > 1)).withColumn("more", (F.col("equal") > 0) & (F.col("longer") > 0)).where("exchange or more")
     flag = lambda c, side: F.max(F.col(c) & (F.col("side") == side))
     wanted = some.groupBy("h1", "h2").agg(*(flag(c, s).alias(f"{c}{s}") for c, s in (("exchange", 0), ("exchange", 1), ("more", 0), ("more", 1), ("more", 2), ("more", 3))))
 
-    # the words of those classes, read once where each stands first
-    first = wanted.join(classes.select("h1", "h2", "place"), ["h1", "h2"]).select("h1", "h2", "place", *(c for c in wanted.columns if c not in ("h1", "h2")), F.col("place.doc_id").alias("_doc"), F.col("place.line").alias("_line"))
-    text = rows.where(long_enough).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "doc_id", "line", "norm", "n")
-    kept = first.join(text, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_line") == F.col("line")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
-    kept = C.save(kept.drop("_doc", "_line", "_h1", "_h2", "doc_id", "line").dropDuplicates(["h1", "h2"]), "lines")
+    # the words of those classes, from the documents where they first stand
+    flags = [c for c in wanted.columns if c not in ("h1", "h2")]
+    first = wanted.join(classes.select("h1", "h2", "n", "place"), ["h1", "h2"]).withColumn("_doc", F.col("place.doc_id"))
+    first = C.save(first.groupBy("_doc").agg(F.collect_list(F.struct("h1", "h2", "n", "place", *flags)).alias("_wanted")), "wanted")
+    # a sieve of SIEVE cells at most keeps most other texts out of the shuffle; the join that follows is exact
+    cells = first.select(cell("_doc").alias("_cell")).distinct()
+    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), cell(key).alias("_cell")).join(F.broadcast(cells), "_cell", "left_semi")
+    found = texts.join(first, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    found = found.select(F.split("_text", "\n", -1).alias("_lines"), F.explode("_wanted").alias("w")).select("w.*", normal(F.get("_lines", F.col("w.place.line"))).alias("norm"))
+    kept = C.save(found.where((F.xxhash64("norm") == F.col("h1")) & (F.xxhash64(F.lit(7), "norm") == F.col("h2"))).dropDuplicates(["h1", "h2"]), "candidates")
 
     # hashes of what stands before and from each word on; one row more for the end
-    spread = kept.select("h1", "h2", "place", "n", *(c for c in kept.columns if c[-1] in "0123" and c not in ("h1", "h2")), F.posexplode(F.concat(F.split("norm", " "), F.array(F.lit("")))).alias("p", "word"))
+    spread = kept.select("h1", "h2", "place", "n", *flags, F.posexplode(F.concat(F.split("norm", " "), F.array(F.lit("")))).alias("p", "word"))
     spread = spread.withColumn("start", F.when(F.col("p") < F.col("n"), F.xxhash64("word", "p")).otherwise(0)).withColumn("end", F.when(F.col("p") < F.col("n"), F.xxhash64("word", F.lit("end"), F.col("n") - F.col("p"))).otherwise(0))
     line = Window.partitionBy("h1", "h2")
     ahead = line.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
@@ -110,16 +137,18 @@ def within_one(a: str, b: str) -> Column:
         differs = F.array_position(F.zip_with(x, y, lambda u, v: u.eqNullSafe(v)), F.lit(False))
         return F.when(differs == 0, longest).otherwise(differs - 1)
 
-    return same(F.col(a), F.col(b)) + same(F.reverse(a), F.reverse(b)) >= longest - 1
+    one_longer = F.abs(F.size(a) - F.size(b)) <= 1
+    return one_longer & (same(F.col(a), F.col(b)) + same(F.reverse(a), F.reverse(b)) >= longest - 1)
 
 
 def judged(docs: DataFrame, least: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line and why ('exact', 'near' or null) of every line with a word."""
-    rows = lines(docs, key, text)
-    near = near_lines(rows, least).select(F.col("h1").alias("n1"), F.col("h2").alias("n2"))
-    narrow = rows.select("doc_id", "line", "h1", "h2")
-    first = narrow.groupBy(F.col("h1").alias("f1"), F.col("h2").alias("f2")).agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    rows = hashed(docs, least, key, text)
+    classes = classes_of(rows)
+    near = near_lines(docs, classes, key, text).select(F.col("h1").alias("n1"), F.col("h2").alias("n2"))
+    first = classes.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("place").alias("first"))
     first = first.join(near, (F.col("f1") == F.col("n1")) & (F.col("f2") == F.col("n2")), "left")
+    narrow = rows.select("doc_id", "line", "h1", "h2")
     done = narrow.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
     why = F.when(F.struct("doc_id", "line") > F.col("first"), "exact").when(F.col("n1").isNotNull(), "near")
     return done.select("doc_id", "line", why.alias("why"))
@@ -139,8 +168,8 @@ def drop_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     stay = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
     text = F.when(F.size("_gone") > 0, F.array_join(stay, "\n")).otherwise(F.col("text"))
     again = {"text": text, "n_chars": F.length(text).cast("long")}
-    done = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    return done.select(*(again[c].alias(c) if c in again else docs[c] for c in docs.columns))
+    done = docs.select(C.packed(docs), "doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return done.select(*(again[c].alias(c) if c in again else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +177,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-with l as (select doc_id, i - 1 as line, string_split(trim(regexp_replace(translate(x[i], '{UPPER}', '{LOWER}'), '{SPACE}', ' ', 'g')), ' ') as w
+with l as (select doc_id, i - 1 as line, string_split(trim(regexp_replace(lower(x[i]), '{SPACE}', ' ', 'g')), ' ') as w
   from (select doc_id, string_split(text, chr(10)) as x from documents where text is not null), lateral (select unnest(range(1, len(x) + 1)) as i) y),
 rows_ as (select * from l where w <> ['']),
 cls as (select w, len(w) as n, min(struct_pack(doc_id := doc_id, line := line)) as first from rows_ group by w),
