@@ -157,15 +157,17 @@ def per_row(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def running(df: DataFrame, group: str, order: list[str], value: str, spread: int, out: str) -> DataFrame:
+def running(df: DataFrame, group: str, order: list[str], value: str, spread: int | Column, out: str) -> DataFrame:
     """Adds `out`: the sum of `value` over the earlier rows of `group`, by `order`, its first column being a
     non-negative 60-bit hash.
 
-    A group's rows are cut by that hash into `spread` slices; each slice is one
-    window partition, and the slices' sums, a few numbers, give their offsets.
-    So a group that holds most rows is still spread over many tasks.
+    A group's rows are cut by that hash into `spread` slices (a number, or a column that
+    is the same throughout a group; 2**20 at most); each slice is one window partition,
+    and the slices' sums, a few numbers, give their offsets.  So a group that holds most
+    rows is still spread over many tasks.
     """
-    cut = df.withColumn("_slice", F.shiftright(F.col(order[0]), 40).cast("long") * F.lit(spread) / F.lit(1 << 20)).withColumn("_slice", F.floor("_slice"))
+    many = F.lit(spread) if isinstance(spread, int) else spread
+    cut = df.withColumn("_slice", F.floor(F.shiftright(F.col(order[0]), 40) * many / F.lit(1 << 20)))
     sums = cut.groupBy(group, "_slice").agg(F.sum(value).alias("_sum"))
     ahead = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col(group).alias("_group"), F.col("_slice").alias("_at"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))

@@ -30,7 +30,7 @@ from . import common as C
 
 CUTS = 32
 ROUNDS = 5
-PER_SLICE = 2000
+PER_SLICE = 500
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, target_entropy: float = 0.95, max_repeats: float = 4.0,
     rows = docs.select(C.packed(docs), F.col(key).alias("_key"), named.alias("_source"), n_tokens(F.col(text)).alias("_tokens"))
     sources = C.save(source_stats(rows.select("_source", "_tokens")), "sources")
     x = exponent(sources, target_entropy, max_repeats, budget_share)
-    n_rows, total = sources.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.coalesce(F.sum("_total"), F.lit(0))).first()
+    total = sources.agg(F.coalesce(F.sum("_total"), F.lit(0))).first()[0]
     power = F.when(F.col("_total") > 0, F.exp(x * F.log(F.col("_total") / F.lit(max(total, 1))))).otherwise(0.0)
     z = sources.agg(F.sum(power)).first()[0] or 1.0
     weights = sources.withColumn("_weight", power / F.lit(z))
@@ -103,10 +103,9 @@ def mix(docs: DataFrame, target_entropy: float = 0.95, max_repeats: float = 4.0,
         budget = float(budget_share) * total
     part = F.col("_weight") * F.lit(budget * (1 + 1e-9))  # so that a whole block is not lost to rounding
     blocks = F.when(F.col("_total") > 0, F.floor(part / F.col("_total"))).otherwise(1).cast("long")
-    plan = weights.select("_source", "_weight", blocks.alias("_blocks"), F.when(F.col("_total") > 0, part - blocks * F.col("_total")).otherwise(-1.0).alias("_rest"))
-    spread = min(1 << 20, max(1, n_rows // PER_SLICE))
+    plan = weights.select("_source", "_weight", blocks.alias("_blocks"), F.when(F.col("_total") > 0, part - blocks * F.col("_total")).otherwise(-1.0).alias("_rest"), F.least(F.ceil(F.col("_rows") / PER_SLICE), F.lit(1 << 20)).alias("_many"))
     ready = rows.join(plan, "_source").withColumn("_order", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_blocks", "_key"), 4))
-    done = C.running(ready, "_source", ["_order", "_key", "_tokens"], "_tokens", spread, "_before")
+    done = C.running(ready, "_source", ["_order", "_key", "_tokens"], "_tokens", F.col("_many"), "_before")
     inside = (F.col("_before") + F.col("_tokens")) <= F.col("_rest")
     done = done.withColumn("_copies", F.col("_blocks") + F.when(inside, 1).otherwise(0))
     return C.unpacked(done, docs.columns, ["_tokens", "_weight", "_copies"])
