@@ -322,3 +322,17 @@ def keep_one(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.documents(spark, sf_dir), Plan(words=3, percent=85))
+
+
+#: All pairs of different sets that share a shingle, without signatures; for small tables.
+ORACLE_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select doc_id, list_sort(case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as x from d),
+one as materialized (select x, min(doc_id) as node from s where len(x) > 0 group by x),
+flat as materialized (select node, len(x) as n, unnest(x) as g from one),
+pair as (select a.node as a, b.node as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as common from flat a join flat b on a.g = b.g and a.node < b.node group by a.node, b.node),
+link as materialized (select a, b from pair where 100 * common >= 85 * (na + nb - common) union all select b, a from pair where 100 * common >= 85 * (na + nb - common)),
+reach(node, other) as (select node, node from one union select r.node, l.b from reach r join link l on r.other = l.a),
+label as (select node, min(other) as component from reach group by node)
+select s.doc_id, len(s.x)::bigint as n_shingles, coalesce(component, s.doc_id) as component_id, coalesce(component, s.doc_id) = s.doc_id as kept
+from s left join one on s.x = one.x left join label on one.node = label.node"""

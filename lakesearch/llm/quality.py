@@ -39,9 +39,22 @@ BOILERPLATE = (
 )
 _BOILER = re.compile(b"|".join(re.escape(x.encode()) for x in BOILERPLATE))
 _SYMBOL = C.byte_set(b"#*$%&|<>")
-_BAR = C.byte_set(b"|>*-\xc2\xb7\xe2\x80\xa2\xbb")
+#: What separates or marks entries, and what closes a line.
+BARS, CLOSING = "|>*-·•»", ".!?:;\"')]}»’”…。！？"
 _UPPER, _LETTER = C.byte_set(bytes(range(65, 91))), C.byte_set(bytes([*range(65, 91), *range(97, 123)]))
-_CLOSING = C.byte_set(b".!?:;\"')]}\xbb\x9d\x99\xa6\x82\x81\x9f")  # the last ones end the UTF-8 form of closing quotes, the ellipsis and full stops
+
+
+def _marked(data: np.ndarray, chars: str) -> np.ndarray:
+    """Which bytes belong to one of the characters."""
+    out = C.byte_set("".join(c for c in chars if c < "\x80").encode())[data]
+    for c in (c.encode() for c in chars if c >= "\x80"):
+        at = np.flatnonzero(data == c[0])
+        at = at[at + len(c) <= len(data)]
+        for k in range(1, len(c)):
+            at = at[data[at + k] == c[k]]
+        for k in range(len(c)):
+            out[at + k] = True
+    return out
 
 
 @dataclass(frozen=True)
@@ -117,7 +130,7 @@ def judge(data: np.ndarray, bounds: np.ndarray, rules: Rules, with_text: bool) -
     n_symbols = of_line(symbols)
     fail = n_symbols > rules.max_symbols * w
     bad = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(inside & ~_BAR[data], out=bad[1:])
+    np.cumsum(inside & ~_marked(data, BARS), out=bad[1:])
     bars = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(bad[ends] == bad[starts], out=bars[1:])
     n_bars = bars[hi] - bars[lo]
@@ -142,7 +155,7 @@ def judge(data: np.ndarray, bounds: np.ndarray, rules: Rules, with_text: bool) -
         boiler[np.searchsorted(line_at, hits, "right") - 1] = True
     fail |= boiler & (w <= rules.boiler_words)
     closed = np.zeros(len(w), bool)
-    closed[has] = _CLOSING[data[ends[hi[has] - 1] - 1]]
+    closed[has] = _marked(data, CLOSING)[ends[hi[has] - 1] - 1]
     bare = (w >= 2) & (w <= rules.bare_words) & ~closed
     new_run = np.concatenate([[True], (bare[1:] != bare[:-1]) | (row[1:] != row[:-1])]) if len(w) else np.empty(0, bool)
     run = np.cumsum(new_run) - 1
@@ -203,3 +216,25 @@ def keep_clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(C.documents(spark, sf_dir).select("doc_id", "text"), with_text=False).select("doc_id", "quality.*")
+
+
+def oracle_sql(rules: Rules = Rules()) -> str:
+    boiler = "|".join(BOILERPLATE)
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(5))
+    word, closing = r"[^\x20\x09-\x0D]+", "".join("\\" + c if c in "]" else c for c in CLOSING.replace("'", "''"))
+    return f"""
+with d as materialized (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{word}') as w from documents),
+g as (select doc_id, i, {gram} as g from d, lateral (select unnest(range(1, len(w) - 3)) as i) x),
+rep as (select doc_id, count(distinct i + k) as n from (select doc_id, i, count(*) over (partition by doc_id, g) as m from g) y, range(5) z(k) where m > 1 group by doc_id),
+l as materialized (select doc_id, j, s[j] as line, regexp_extract_all(s[j], '{word}') as w from (select doc_id, string_split(t, chr(10)) as s from d) e, lateral (select unnest(range(1, len(s) + 1)) as j) x),
+f as (select doc_id, j, line, len(w) as n, len(regexp_extract_all(line, '[#*$%&|<>]')) as symbols, len(list_filter(w, lambda x: regexp_matches(x, '^[|>*·•»-]+$'))) as bars, len(regexp_extract_all(line, '[A-Za-z]')) as letters, len(regexp_extract_all(line, '[A-Z]')) as uppers,
+  len(list_distinct(list_transform(w, lambda x: x))) as fresh, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as stutter,
+  regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{boiler}') as boiler, len(w) between 2 and {rules.bare_words} and not regexp_matches(w[-1], '[{closing}]$') as bare from l),
+r as (select *, sum(case when bare then 0 else 1 end) over (partition by doc_id order by j rows unbounded preceding) as island from f),
+b as (select *, case when bare then count(*) filter (bare) over (partition by doc_id, island) else 0 end as run from r),
+v as (select *, n > 0 and (symbols > {rules.max_symbols} * n or (bars >= {rules.nav_bars} and bars * {rules.nav_every} >= n) or (letters >= {rules.min_letters} and uppers > {rules.max_upper} * letters)
+  or (n >= {rules.min_repeat} and (fresh < {rules.min_distinct} * n or stutter > {rules.max_stutter} * n)) or (boiler and n <= {rules.boiler_words}) or run >= {rules.bare_run}) as fails from b),
+a as (select doc_id, sum(symbols) as n_symbols, count(*) filter (n > 0) - count(distinct line) filter (n > 0) as n_dup, count(*) filter (fails) as n_failed, coalesce(sum(n) filter (fails), 0) as lost from v group by doc_id),
+x as (select d.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) as word_chars, n_symbols, n_dup, coalesce(rep.n, 0) as n_repeat, n_failed, lost from d join a using (doc_id) left join rep using (doc_id))
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup::bigint as n_dup_lines, n_repeat::bigint as n_repeat_words, n_words < 10 or 100 * n_repeat > 20 * n_words as base_failed,
+  not (n_words < 10 or 100 * n_repeat > 20 * n_words) and lost <= {rules.max_lost} * n_words as kept, n_failed::bigint as n_lines_failed, lost::bigint as n_words_lost from x"""

@@ -19,5 +19,8 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": lines.ORACLE_SQL,
+    "op4_near_duplicates": dedup.ORACLE_SQL,
+    "op6_sharding": sharding.oracle_sql(),
     "op7_license_scan": licenses.oracle_sql(),
+    "op9_quality_rules": quality.oracle_sql(),
 }

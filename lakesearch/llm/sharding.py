@@ -108,5 +108,29 @@ def shard(docs: DataFrame, shards: int = SHARDS, replicas: int = REPLICAS, load_
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.documents(spark, sf_dir).select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    docs = C.documents(spark, sf_dir).select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     return shard(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def oracle_sql() -> str:
+    """The ring's walk one document at a time, and the CRC byte by byte."""
+    table = []
+    for b in range(256):
+        for _ in range(8):
+            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        table.append(b)
+    return f"""
+with recursive node as (select s, ('0x' || substr(md5(s || ':' || r), 1, 15))::bigint as p from range({SHARDS}) a(s), range({REPLICAS}) b(r)),
+ring as (select list(p order by p) as ps, list(s order by p) as ss from node),
+firsts as (select list(s order by p) as seen from (select s, min(p) as p from node group by s) f),
+doc as materialized (select doc_id, text, ('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, 15))::bigint as place, row_number() over (order by ('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, 15))::bigint, doc_id) as i from documents),
+quota as (select list_transform(range({SHARDS}), lambda s: n // {SHARDS} + case when list_position(seen, s) <= n % {SHARDS} then 1 else 0 end) as q from firsts, (select count(*) as n from documents) c),
+walk(i, shard, slot, used) as (
+  select 0::bigint, 0::bigint, 0::bigint, list_transform(range({SHARDS}), lambda s: 0::bigint)
+  union all
+  select i, to_, used[to_ + 1], list_transform(range({SHARDS}), lambda s: used[s + 1] + case when s = to_ then 1 else 0 end)
+  from (select d.i, w.used, list_filter(list_concat(ss[len(list_filter(ps, lambda p: p < d.place)) + 1:], ss), lambda s: w.used[s + 1] < q[s + 1])[1] as to_ from walk w join doc d on d.i = w.i + 1, ring, quota) step),
+hexed as (select doc_id, string_split(hex(encode(coalesce(text, ''))), '') as h from documents),
+crc as (select doc_id, xor(4294967295::bigint, list_reduce(list_concat([4294967295::bigint], list_transform(range(1, len(h), 2), lambda k: (strpos('0123456789ABCDEF', h[k]) * 16 + strpos('0123456789ABCDEF', h[k + 1]) - 17)::bigint)), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1]))) as v from hexed)
+select d.doc_id, (strlen(coalesce(d.text, '')) + 1)::bigint as size, v as text_crc32, 'rows' as law, shard::integer as shard, slot, null::integer as grown_shard
+from doc d join walk w on d.i = w.i join crc c on c.doc_id = d.doc_id"""
