@@ -38,21 +38,45 @@ def waterfall(spans: DataFrame, width: float = 116.0) -> DataFrame:
     return both.withColumns({"x": F.when(total > 0, x), "bar": F.when(total > 0, bar)})
 
 
-def depths(spans: DataFrame, most: int = 6, rounds: int = 200) -> DataFrame:
-    """run, span, depth (shown at `most` at the deepest) of spans (run, span, parent), level by level.
+def walk(spans: list[tuple[str, str | None]]) -> list[tuple[str, int]]:
+    """(span, depth) of the spans (span, parent) of one trace, children below their parents.
 
-    A span whose parent is missing, or that is in a cycle, is a root of its own at
-    depth 0.  A trace holds at most `rounds` spans, so there are as many levels.
+    What no root leads to, a span whose parent is missing or a cycle, is appended in
+    the order given, its first span at depth 0; a span is shown once.
     """
-    spark = spans.sparkSession
-    spans.select("run", "span", "parent").createOrReplaceTempView("_trace_spans")
-    found = spark.sql(f"""
-      with recursive tree(run, span, depth) as (
-        select s.run, s.span, 0 from _trace_spans s where s.parent is null
-        union all
-        select s.run, s.span, t.depth + 1 from _trace_spans s join tree t on s.run = t.run and s.parent = t.span where t.depth < {rounds}
-      ) select run, span, min(depth) as depth from tree group by run, span""")
-    return spans.select("run", "span").join(found, ["run", "span"], "left").select("run", "span", F.least(F.coalesce("depth", F.lit(0)), F.lit(most)).cast("long").alias("depth"))
+    children: dict[str | None, list[str]] = {}
+    for span, parent in spans:
+        children.setdefault(parent, []).append(span)
+    out, seen = [], set()
+    for start in [*children.get(None, []), *(s for s, _ in spans)]:
+        todo = [(start, 0)]
+        while todo:
+            span, depth = todo.pop()
+            if span not in seen:
+                seen.add(span)
+                out.append((span, depth))
+                todo += [(c, depth + 1) for c in reversed(children.get(span, []))]
+    return out
+
+
+def depths(spans: DataFrame, order: tuple[str, ...] = ("started_ms", "span"), most: int = 6) -> DataFrame:
+    """run, span, depth (`most` at the deepest) and place in display order of spans (run, span, parent).
+
+    A trace holds a few hundred spans by its own limit, so each is one row of a batch.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for row in part.itertuples(index=False):
+                shown = walk([(s["span"], s["parent"]) for s in row.spans])
+                out += [(row.run, span, min(depth, most), i + 1) for i, (span, depth) in enumerate(shown)]
+            yield pd.DataFrame(out, columns=["run", "span", "depth", "place"])
+
+    kind = spans.schema["run"].dataType.simpleString()
+    held = spans.groupBy("run").agg(F.array_sort(F.collect_list(F.struct(*order, F.col("span").alias("_s"), "parent"))).alias("_spans"))
+    rows = held.select("run", F.transform("_spans", lambda s: F.struct(s["_s"].alias("span"), s["parent"].alias("parent"))).alias("spans"))
+    return rows.mapInPandas(run, f"run {kind}, span string, depth long, place long")
 
 
 def interrupted(traces: DataFrame, owners: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J10_span_tree", f"with recursive s as (select * from {_SPANS} x), t(run, span, depth) as (select run, span, 0 from s where parent is null union all select s.run, s.span, t.depth + 1 from s join t on s.run = t.run and s.parent = t.span) select run, span, least(depth, 6)::bigint as depth from t")
 def span_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TR.depths(_spans(spark, sf_dir))
+    return TR.depths(_spans(spark, sf_dir)).select("run", "span", "depth")
 
 
 @query("A22_observed_end", f"select run, min(started_ms)::bigint as run_started, max(started_ms + coalesce(duration_ms, 0))::bigint as run_end from {_SPANS} s group by run")

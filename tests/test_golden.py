@@ -182,10 +182,10 @@ def test_cache_replay():
 
 
 def test_span_depths(spark):
-    rows = [(1, "a", None), (1, "b", "a"), (1, "c", "b"), (1, "lost", "gone"), (1, "x", "y"), (1, "y", "x")]
+    rows = [(1, "a", None), (1, "b", "a"), (1, "c", "b"), (1, "lost", "gone"), (1, "m", "lost"), (1, "x", "y"), (1, "y", "x")]
     rows += [(2, str(i), str(i - 1) if i else None) for i in range(12)]
-    got = {(r["run"], r["span"]): r["depth"] for r in TR.depths(spark.createDataFrame(rows, "run long, span string, parent string")).collect()}
-    assert got[1, "c"] == 2 and got[1, "lost"] == 0 and got[1, "x"] == 0 and got[2, "11"] == 6 and got[2, "3"] == 3
+    got = {(r["run"], r["span"]): r["depth"] for r in TR.depths(spark.createDataFrame(rows, "run long, span string, parent string"), ("span",)).collect()}
+    assert got[1, "c"] == 2 and got[1, "lost"] == 0 and got[1, "m"] == 1 and got[1, "x"] == 0 and got[1, "y"] == 1 and got[2, "11"] == 6 and got[2, "3"] == 3
 
 
 def test_redaction():
