@@ -14,8 +14,8 @@ training texts; a node's weighted probability is half its own and half the produ
 of its children's.  The predictive probability mixes the estimates of all depths by
 the resulting posterior weights; a context never seen says what its parent says.
 For a fixed corpus the probability of a byte after its context's leaf is one number,
-so scoring reads one table, a row of 256 floats for each leaf: 32768 + 2 * SHARE
-rows (160 MB) at the very most, a fifth of that on the corpora tried, broadcast.
+so scoring reads one table, a row of 256 floats for each leaf: 32768 + 3 * SHARE
+rows (230 MB) at the very most, a quarter of that on the corpora tried, broadcast.
 
 Counting is one pass that sums within each task and then by key.  Words are counted
 by their 64-bit hashes in the same pass.  The words that make up one part in
@@ -41,11 +41,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-DEPTH = 5
+DEPTH = 6
 DENSE = 3
 SHARE = 1 << 16
 FREQUENT = 1 << 20
-HELD = 2 << 20
+HELD = 1 << 20
 END = 255
 END_WORD = 0x5F5E_454E_445F_5F5F  # stands for the end among word hashes
 #: Context classes: a-z, digits, white space, line feed, other ASCII, UTF-8 lead bytes, UTF-8 continuation bytes.
@@ -88,10 +88,10 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """The leaves' predictive probabilities, from counts of (context of depth d, symbol) for d = 3, 4, 5."""
+    """The leaves' predictive probabilities, from counts of (context of depth d, symbol) for d = DENSE to DEPTH."""
 
     def __init__(self, by_depth: list[tuple[np.ndarray, np.ndarray]]):
-        """by_depth: for depth 3 to 5, keys context * 256 + symbol and counts; at depths 4 and 5 of the nodes only."""
+        """by_depth: for each depth from DENSE on, keys context * 256 + symbol and counts; below DENSE of the nodes only."""
         wide = 32**DENSE
         contexts = [np.arange(wide), *(np.unique(k >> 8) for k, _ in by_depth[1:])]
         sums = []
@@ -111,18 +111,23 @@ class Tree:
             self.table[:, mid:hi] += np.log10(p)[:, None].astype(np.float32)
             if mid - lo > 1:
                 stack += [(lo, mid), (mid, hi)]
-        # from a context to its leaf: by the first four classes, then by the fifth
-        self.fourth = np.full(32 ** (DENSE + 1), -1, np.int32)
-        self.fourth[contexts[1]] = np.arange(len(contexts[1]))
-        self.fifth = np.full((len(contexts[1]) + 1, 32), -1, np.int32)
-        self.fifth[parents[1], contexts[2] >> (5 * (DENSE + 1))] = np.arange(len(contexts[2]))
-        self.start = (0, wide, wide + len(contexts[1]))
+        # from a context to its leaf: by the first DENSE + 1 classes at once, then class by class
+        self.first = np.full(32 ** (DENSE + 1), -1, np.int32)
+        self.first[contexts[1]] = np.arange(len(contexts[1]))
+        self.children = []
+        for i in range(1, len(parents)):
+            child = np.full((len(contexts[i]) + 1, 32), -1, np.int32)  # row -1, of no node, has none
+            child[parents[i], contexts[i + 1] >> (5 * (DENSE + i))] = np.arange(len(contexts[i + 1]))
+            self.children.append(child)
+        self.start = np.cumsum([0, *map(len, contexts)])
 
     def log10(self, code: np.ndarray) -> np.ndarray:
         context = code >> 8
-        fourth = self.fourth[context & (32 ** (DENSE + 1) - 1)]
-        fifth = self.fifth[fourth, context >> (5 * (DENSE + 1))]  # row -1 has no children
-        leaf = np.where(fourth < 0, context & (32**DENSE - 1), np.where(fifth < 0, fourth + self.start[1], fifth + self.start[2]))
+        node = self.first[context & (32 ** (DENSE + 1) - 1)]
+        leaf = np.where(node < 0, context & (32**DENSE - 1), node + self.start[1])
+        for i, child in enumerate(self.children):
+            node = child[node, (context >> (5 * (DENSE + 1 + i))) & 31]
+            leaf = np.where(node < 0, leaf, node + self.start[i + 2])
         return self.table.ravel()[(leaf << 8) | (code & 255)]
 
 
@@ -131,10 +136,10 @@ def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _decision(a: list[np.ndarray], b: list[np.ndarray], parents: list[np.ndarray]) -> np.ndarray:
-    """The probability of a one in each leaf, for one decision; a, b: zeros and ones of the nodes of depth 3, 4, 5.
+    """The probability of a one in each leaf, for one decision; a, b: zeros and ones of the nodes of each depth from DENSE on.
 
-    Leaves are, in this order, the rest below each node of depth 3, the rest below
-    each node of depth 4, and the nodes of depth 5.
+    Leaves are, in this order, the rest below each node of depth DENSE, of the next
+    depth, and so on, and the nodes of depth DEPTH.
     """
     rest = []
     for i, up in enumerate(parents):
@@ -214,7 +219,7 @@ def count(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _tree(grams: DataFrame) -> Tree:
-    """Nodes and their counts, from counts of (context of depth 5, symbol): SHARE * 256 numbers a depth at most."""
+    """Nodes and their counts, from counts of (context of depth DEPTH, symbol): SHARE * 256 numbers a depth at most."""
     positions = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     by_depth = []
     for d in range(DENSE, DEPTH + 1):

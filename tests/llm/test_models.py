@@ -116,7 +116,7 @@ def test_probabilities_sum_to_one():
     code, _ = ctw.codes(data, bounds)
     keys, n = np.unique(code & ((1 << 23) - 1), return_counts=True)
     none = (np.empty(0, np.int64), np.empty(0, np.int64))
-    tree = ctw.Tree([(keys, n), none, none])
+    tree = ctw.Tree([(keys, n), *[none] * (ctw.DEPTH - ctw.DENSE)])
     assert np.allclose((10.0 ** tree.table.astype(float)).sum(1), 1, atol=1e-4)
 
 
