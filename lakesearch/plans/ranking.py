@@ -123,9 +123,10 @@ def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("C01_rank_candidates")
 def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three modes side by side: upstream (by id), bm25, bm25_mmr."""
-    pool = mmr_pool(spark, sf_dir)
-    one = lambda mode, rank: pool.select("query", "id", F.lit(mode).alias("mode"), rank.cast("long").alias("rank"), (F.lit(None).cast("double") if mode == "upstream" else F.col("score")).alias("score"))
-    return one("upstream", F.row_number().over(Window.partitionBy("query").orderBy("id"))).union(one("bm25", F.col("rank"))).union(one("bm25_mmr", F.col("mmr_rank")))
+    pool = mmr_pool(spark, sf_dir).withColumn("upstream", F.row_number().over(Window.partitionBy("query").orderBy("id")).cast("long"))
+    one = lambda mode, rank, score: F.struct(F.lit(mode).alias("mode"), F.col(rank).alias("rank"), score.alias("score"))
+    modes = F.array(one("upstream", "upstream", F.lit(None).cast("double")), one("bm25", "rank", F.col("score")), one("bm25_mmr", "mmr_rank", F.col("score")))
+    return pool.select("query", "id", F.explode(modes).alias("m")).select("query", "id", "m.*")
 
 
 # Evaluation: pools are sources, ranked by length of text; the grade quality * (2 - toxic) stands in for judgments.
