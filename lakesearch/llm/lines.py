@@ -69,23 +69,30 @@ def hashed(docs: DataFrame, least: int = MIN_WORDS, key: str = "doc_id", text: s
     return C.save(lines(docs, key, text).select("doc_id", "line", "n", "h1", "h2", *(k.alias(f"k{i}") for i, k in enumerate(keys))), "lines")
 
 
-def cell(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(SIEVE))
+def sieved(rows: DataFrame, column: str, wanted: DataFrame, name: str) -> DataFrame:
+    """`rows` without most of those whose `column` is not among `name` of `wanted`, before a join that is exact.
+
+    What is broadcast are SIEVE cells at most, however large `wanted` is; once they are
+    all taken nothing is held back, and the join is as it would be without.
+    """
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE)).alias("_cell")
+    cells = wanted.select(cell(name)).distinct()
+    return rows.withColumn("_cell", cell(column)).join(F.broadcast(cells), "_cell", "left_semi").drop("_cell")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """h1, h2, their first place, n and the keys of each class of equal lines; saved."""
-    firsts = [F.first(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3")]
-    return C.save(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("place"), *firsts), "classes")
+    """h1, h2, first place, number of copies and n of each class of equal lines; saved."""
+    return C.save(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
 
 
-def near_lines(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_lines(docs: DataFrame, rows: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """h1, h2 of the classes that go because an earlier one is near."""
     # side: 0 first half of n words, 1 last half of n, 2 first half of n - 1, 3 last half of n - 1
-    shared = classes.select("h1", "h2", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("side", "key")).where("key is not null")
-    longer = (F.col("side") >= 2).cast("int")
-    crowd = shared.groupBy("key").agg(F.sum(1 - longer).alias("equal"), F.sum(longer).alias("longer")).where("equal > 1 or (equal > 0 and longer > 0)")
-    some = shared.join(crowd, "key").withColumn("exchange", (F.col("side") < 2) & (F.col("equal") > 1)).withColumn("more", (F.col("equal") > 0) & (F.col("longer") > 0)).where("exchange or more")
+    shared = rows.select("h1", "h2", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("side", "key")).where("key is not null")
+    equal = F.when(F.col("side") < 2, F.col("h1"))
+    crowd = shared.groupBy("key").agg(F.min(equal).alias("least"), F.max(equal).alias("most"), F.max(F.col("side") >= 2).alias("longer")).where("least < most or (least is not null and longer)")
+    crowd = C.save(crowd.select("key", (F.col("least") < F.col("most")).alias("_several"), "longer"), "crowd")
+    some = sieved(shared, "key", crowd, "key").join(crowd, "key").withColumns({"exchange": (F.col("side") < 2) & F.col("_several"), "more": F.col("longer")}).where("exchange or more")
     flag = lambda c, side: F.max(F.col(c) & (F.col("side") == side))
     wanted = some.groupBy("h1", "h2").agg(*(flag(c, s).alias(f"{c}{s}") for c, s in (("exchange", 0), ("exchange", 1), ("more", 0), ("more", 1), ("more", 2), ("more", 3))))
 
@@ -93,9 +100,7 @@ def near_lines(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: s
     flags = [c for c in wanted.columns if c not in ("h1", "h2")]
     first = wanted.join(classes.select("h1", "h2", "n", "place"), ["h1", "h2"]).withColumn("_doc", F.col("place.doc_id"))
     first = C.save(first.groupBy("_doc").agg(F.collect_list(F.struct("h1", "h2", "n", "place", *flags)).alias("_wanted")), "wanted")
-    # a sieve of SIEVE cells at most keeps most other texts out of the shuffle; the join that follows is exact
-    cells = first.select(cell("_doc").alias("_cell")).distinct()
-    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), cell(key).alias("_cell")).join(F.broadcast(cells), "_cell", "left_semi")
+    texts = sieved(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")), "doc_id", first, "_doc")
     found = texts.join(first, F.col("doc_id").eqNullSafe(F.col("_doc")))
     found = found.select(F.split("_text", "\n", -1).alias("_lines"), F.explode("_wanted").alias("w")).select("w.*", normal(F.get("_lines", F.col("w.place.line"))).alias("norm"))
     kept = C.save(found.where((F.xxhash64("norm") == F.col("h1")) & (F.xxhash64(F.lit(7), "norm") == F.col("h2"))).dropDuplicates(["h1", "h2"]), "candidates")
@@ -141,24 +146,30 @@ def within_one(a: str, b: str) -> Column:
     return one_longer & (same(F.col(a), F.col(b)) + same(F.reverse(a), F.reverse(b)) >= longest - 1)
 
 
-def judged(docs: DataFrame, least: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line and why ('exact', 'near' or null) of every line with a word."""
+def _judge(docs: DataFrame, least: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(all lines with a word, those that go with why)."""
     rows = hashed(docs, least, key, text)
     classes = classes_of(rows)
-    near = near_lines(docs, classes, key, text).select(F.col("h1").alias("n1"), F.col("h2").alias("n2"))
-    first = classes.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("place").alias("first"))
-    first = first.join(near, (F.col("f1") == F.col("n1")) & (F.col("f2") == F.col("n2")), "left")
-    narrow = rows.select("doc_id", "line", "h1", "h2")
+    near = near_lines(docs, rows, classes, key, text).select(F.col("h1").alias("n1"), F.col("h2").alias("n2"))
+    first = classes.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("place").alias("first"), "copies")
+    first = C.save(first.join(near, (F.col("f1") == F.col("n1")) & (F.col("f2") == F.col("n2")), "left").where("copies > 1 or n1 is not null"), "judged")
+    narrow = sieved(rows.select("doc_id", "line", "h1", "h2"), "h1", first, "f1")
     done = narrow.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
     why = F.when(F.struct("doc_id", "line") > F.col("first"), "exact").when(F.col("n1").isNotNull(), "near")
-    return done.select("doc_id", "line", why.alias("why"))
+    return rows, done.select("doc_id", "line", why.alias("why")).where("why is not null")
+
+
+def dropped(docs: DataFrame, least: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, line and why ('exact' or 'near') of every line that goes."""
+    return _judge(docs, least, key, text)[1]
 
 
 def summary(docs: DataFrame, least: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_exact, n_near and dropped_lines (from 0, ascending) of every doc_id."""
-    found = judged(docs, least, key, text).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n_lines"), F.count_if(F.col("why") == "exact").alias("n_exact"), F.count_if(F.col("why") == "near").alias("n_near"), F.array_sort(F.collect_set(F.when(F.col("why").isNotNull(), F.col("line")))).alias("dropped_lines"))
-    ids = docs.select(F.col(key).alias("doc_id")).distinct()
-    done = ids.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    rows, gone = _judge(docs, least, key, text)
+    counts = docs.select(F.col(key).alias("doc_id"), F.lit(0).alias("n")).union(rows.select("doc_id", F.lit(1))).groupBy("doc_id").agg(F.sum("n").alias("n_lines"))
+    found = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.count_if(F.col("why") == "exact").alias("n_exact"), F.count_if(F.col("why") == "near").alias("n_near"), F.array_sort(F.collect_set("line")).alias("dropped_lines"))
+    done = counts.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return done.select("doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_exact", "n_near")), F.coalesce("dropped_lines", F.array().cast("array<int>")).alias("dropped_lines"))
 
 
