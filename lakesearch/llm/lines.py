@@ -1,7 +1,8 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line is what stands between line feeds; lines are compared as their words, in
-lower case, and lines without a word are kept and not counted.  Two lines are
+A line is what stands between line feeds; lines are compared as their words, runs of
+anything but blanks, tabs and carriage returns, in lower case.  Lines without a word
+are kept and not counted.  Two lines are
 near if one word put in, left out or exchanged turns one into the other (an edit
 distance of at most one word) and both have `MIN_WORDS` words or more; shorter lines
 only meet exact copies.  A line goes if an earlier one, by doc_id and line number,
@@ -36,13 +37,13 @@ from . import common as C
 
 MIN_WORDS = 6
 SIEVE = 1 << 20
-SPACE = r"[\x20\x09-\x0D]+"
+SPACE = r"[ \t\r]+"
 
 
 def normal(line: Column) -> Column:
     """The words of a line in lower case, joined by one space; the regular expression only where it is needed."""
     low = F.lower(line)
-    odd = F.contains(low, F.lit("  ")) | F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c"))
+    odd = F.contains(low, F.lit("  ")) | F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r"))
     return F.trim(F.when(odd, F.regexp_replace(low, SPACE, " ")).otherwise(low))
 
 
