@@ -218,3 +218,28 @@ def test_json_ld_logo_order():
     assert HP.json_ld_logo(page("nonsense", org), "https://example.com/a") == "https://example.com/org.png"
     assert HP.json_ld_logo(page('{"@type":"Organization","url":"https://other.org","logo":"/o.png"}'), "https://example.com/a") is None
     assert HP.json_ld_logo(page('{"mentions":{"@type":"Organization","logo":"/o.png"}}'), "https://example.com/a") is None
+
+
+def test_single_flight_and_pacing(spark):
+    from lakesearch.operators import flow as FL
+
+    rows = [("p", 1, "a", 0, 10), ("p", 2, "a", 5, 10), ("p", 3, "a", 10, 10), ("p", 4, "b", 12, 1), ("p", 5, "a", 19, 1), ("q", 6, "a", 1, 5)]
+    r = spark.createDataFrame(rows, "pool string, seq long, key string, at long, duration long")
+    assert {x["seq"]: x["call"] for x in FL.single_flight(r).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3, 6: 6}
+    assert {x["seq"]: x["starts"] for x in FL.paced(r, 2, 2).collect()} == {1: 0, 2: 5, 3: 10, 4: 15, 5: 19, 6: 1}
+    assert {x["seq"]: x["starts"] for x in FL.spaced(r, 6).collect()} == {1: 0, 2: 6, 3: 12, 4: 18, 5: 24, 6: 1}
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "parent long, node long")
+    assert sorted(x["node"] for x in FL.reachable(edges, spark.createDataFrame([(2,)], "node long")).collect()) == [1, 2, 3]
+
+
+def test_bodies():
+    import zlib
+
+    from lakesearch.sources.bodies import decode
+
+    gz = zlib.compressobj(9, zlib.DEFLATED, 31)
+    bomb = gz.compress(b"x" * 1_000_000) + gz.flush()
+    assert decode(bomb, "gzip", most_out=1000) == (None, "RESPONSE_TOO_LARGE") and decode(bomb, "gzip", most_out=2_000_000)[0] == b"x" * 1_000_000
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    assert decode(raw.compress(b"abc") + raw.flush(), "deflate") == (b"abc", None)
+    assert decode(b"abc", "br")[1] == "UNSUPPORTED_ENCODING" and decode(b"abc", "gzip")[1] == "HTTP_ERROR" and decode(bomb[:20], "gzip")[1] == "HTTP_ERROR" and decode(None, None)[1] == "HTTP_ERROR"
