@@ -3,7 +3,8 @@
 JavaScript and Java disagree on what `\\s` and `\\b` are, so white space is the
 explicit class `WS` and word borders are ASCII, spelled out.  Lengths and offsets
 count code points.  Tokens follow the profile `portable_v1`: lower case, runs of
-letters and digits of any script.
+letters and digits of any script, each Han character by itself, as there is no
+dictionary to find words among them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql.types import StringType
 
 #: White space as ECMAScript has it.
 WS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-TOKEN = r"[\p{L}\p{N}]+"
+TOKEN = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
 TOKENIZER = "portable_v1"
 
 #: Openers that make a paragraph a condition, a negation or a reference back, and words that do so anywhere.

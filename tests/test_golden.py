@@ -34,6 +34,10 @@ def test_coverage(spark, query, text, score, method):
     assert got["method"] == method and (got["score"] is None if score is None else math.isclose(got["score"], score))
 
 
+def test_tokens(spark):
+    assert one(spark, X.tokens(F.col("t")), t="Été 2024, x_y 搜索ab引擎") == ["été", "2024", "x", "y", "搜", "索", "ab", "引", "擎"]
+
+
 def test_nfkc_tokens(spark):
     assert one(spark, X.nfkc_tokens(F.col("t")), t="ＭＣＰ Ünï１") == ["mcp", "ünï1"]
 
@@ -139,6 +143,12 @@ def test_heading_alone_is_no_evidence():
     assert P.select("Needle\n\n", [(0, 8)], "needle", 5, 200) == []
 
 
+def test_han_passages():
+    text = "标题\n\n如果使用搜索引擎。\n\n别的内容在这里。"
+    got = P.select(text, [(0, 4), (4, 15), (15, len(text))], "搜索", 3, 200)
+    assert got and "搜索引擎" in got[0]["quote"] and got[0]["coverage"] == 1.0
+
+
 def test_rare_terms_first():
     parts = ["alpha one two three four five six.\n\n", "alpha seven eight nine ten words.\n\n", "beta once only stands in this one.\n\n"]
     text, spans, at = "".join(parts), [], 0
