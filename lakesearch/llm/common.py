@@ -158,8 +158,8 @@ def per_row(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def running(df: DataFrame, group: str, order: list[str], value: str, spread: int | Column, out: str) -> DataFrame:
-    """Adds `out`: the sum of `value` over the earlier rows of `group`, by `order`, its first column being a
-    non-negative 60-bit hash.
+    """Adds `out`: the sum of `value` over the earlier rows of `group`, which is never null, by `order`, its first
+    column being a non-negative 60-bit hash.
 
     A group's rows are cut by that hash into `spread` slices (a number, or a column that
     is the same throughout a group; 2**20 at most); each slice is one window partition,
@@ -173,7 +173,8 @@ def running(df: DataFrame, group: str, order: list[str], value: str, spread: int
     sums = sums.select(F.col(group).alias("_group"), F.col("_slice").alias("_at"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
     inside = Window.partitionBy(group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = cut.withColumn("_own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    both = own.join(sums, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_slice") == F.col("_at")))
+    # plain equality: the rows lie by these columns already, and only the sums move
+    both = own.join(sums, (F.col(group) == F.col("_group")) & (F.col("_slice") == F.col("_at")))
     return both.withColumn(out, F.col("_own") + F.col("_ahead")).drop("_own", "_ahead", "_group", "_at", "_slice")
 
 
