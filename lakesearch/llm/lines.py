@@ -37,6 +37,7 @@ from . import common as C
 
 MIN_WORDS = 6
 SIEVE = 1 << 20
+HOT = 1 << 14
 SPACE = r"[ \t\r]+"
 
 
@@ -155,7 +156,10 @@ def _judge(docs: DataFrame, least: int, key: str, text: str) -> tuple[DataFrame,
     first = classes.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("place").alias("first"), "copies")
     first = C.save(first.join(near, (F.col("f1") == F.col("n1")) & (F.col("f2") == F.col("n2")), "left").where("copies > 1 or n1 is not null"), "judged")
     narrow = sieved(rows.select("doc_id", "line", "h1", "h2"), "h1", first, "f1")
-    done = narrow.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
+    same = (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))
+    # classes that hold one line in HOT or more, HOT at most, are broadcast: no key of the other join is heavy
+    least_copies = classes.agg(F.sum("copies") / HOT).first()[0] or 0.0
+    done = narrow.join(F.broadcast(first.where(F.col("copies") >= least_copies)), same).union(narrow.join(first.where(F.col("copies") < least_copies), same))
     why = F.when(F.struct("doc_id", "line") > F.col("first"), "exact").when(F.col("n1").isNotNull(), "near")
     return rows, done.select("doc_id", "line", why.alias("why")).where("why is not null")
 
