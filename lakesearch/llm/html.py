@@ -13,7 +13,7 @@ footers, sidebars, notices, adverts, forms, reader comments, unclosed tags.
 
 White space is what Python's str.split splits at, the no-break space included.  A
 `br` and the start and the end of a block element end a block.  Scripts, styles,
-templates, titles, comments and markup are never text.  Null and empty html give an
+templates, titles, drawings, fallbacks, comments and markup are never text.  Null and empty html give an
 empty text; html without tags is one block.  Tags that never close end with their
 parent, and end tags without a start are ignored.
 """
@@ -44,7 +44,7 @@ _NAME = re.compile(r"[a-z]+")
 
 # Fixed values of HTML: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template iframe noembed noframes xmp".split())
+RAW = frozenset("script style title textarea template iframe noembed noframes noscript xmp svg canvas object audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "thead tbody tfoot", "tbody": "thead tbody tfoot", "tfoot": "thead tbody tfoot"}
@@ -353,7 +353,8 @@ def _box(rng: random.Random, tag: str, names: list[str], inner: str, y: int, bar
     mark = rng.choice([f'class="{name}"', f'id="{name}"', f'class="{name} x{rng.randint(0, 9)}"', f'class="c-{name}"'])
     if tag != "div" and rng.random() < 0.6:
         return f'<{tag}{"" if rng.random() < bare + 0.3 else " " + mark} data-y="{y}">{inner}</{tag}>'
-    return f'<{rng.choice(["div", "section"])} {mark} data-y="{y}">{inner}</div>' if rng.random() < 0.97 else f"<div {mark} data-y=\"{y}\">{inner}"
+    kind = rng.choice(["div", "div", "section"])
+    return f'<{kind} {mark} data-y="{y}">{inner}</{kind}>'
 
 
 def _junk(rng: random.Random, kind: str) -> str:
@@ -369,7 +370,7 @@ def _junk(rng: random.Random, kind: str) -> str:
     if kind == "ad":
         return _box(rng, "div", ["ad", "ads", "advert", "ad-slot", "sponsored", "promo", "advertisement"], rng.choice([s(), f"<p>{s()}</p>", f'<a href="/b">{s(1, 2)}</a>']), 0)
     if kind == "note":
-        return _box(rng, "div", ["cookie-banner", "notice", "consent", "alert", "popup", "announcement", "cookie-notice"], rng.choice([s(), f"<p>{s()}</p><button>{_words(rng, 1, 2)}</button>"]), 0)
+        return _box(rng, rng.choice(["div", "div", "aside", "dialog"]), ["cookie-banner", "notice", "consent", "alert", "popup", "announcement", "cookie-notice"], rng.choice([s(), f"<p>{s()}</p><button>{_words(rng, 1, 2)}</button>"]), 0)
     if kind == "form":
         return rng.choice([f'<form data-y="0"><label>{_words(rng, 1, 3)}</label><input name="q"><button>{_words(rng, 1, 2)}</button><p>{s()}</p></form>', _box(rng, "div", ["newsletter", "search", "login", "signup"], f"<p>{s()}</p><form><input><select><option>{_words(rng, 1, 1)}<option>{_words(rng, 1, 1)}</select></form>", 0)])
     if kind == "share":
@@ -421,6 +422,8 @@ def _page(rng: random.Random) -> str:
         main = f'<main data-y="1">{inner}</main>'
     elif roll < 0.7:
         main = f'<main{rng.choice(["", " id=main"])} data-y="1"><article>{inner}</article></main>'
+    elif roll < 0.78:
+        main = f'<div{rng.choice(["", " class=wrap", " id=x1", " class=inner", " class=col"])} data-y="1">{inner}</div>'
     else:
         main = f'<div {rng.choice(["class", "id"])}="{rng.choice(["content", "post-content", "entry-content", "story-body", "article-body", "main", "main-content", "text"])}" data-y="1">{inner}</div>'
     before = [_junk(rng, k) for k in ("menu", "head", "ad", "note", "form", "side") if rng.random() < 0.4]
@@ -436,7 +439,7 @@ def _page(rng: random.Random) -> str:
 def main_text(pages: DataFrame, model: Model | None = None, html: str = "html") -> DataFrame:
     """`pages` with `text`, the main text, instead of the html column.  One pass, no shuffle."""
     C.small_batches(pages.sparkSession)
-    shared = pages.sparkSession.sparkContext.broadcast(model or train(labelled_pages(1200)))
+    shared = pages.sparkSession.sparkContext.broadcast(model or train(labelled_pages(1500)))
     rest = [f for f in pages.schema.fields if f.name not in (html, "text")]
     schema = T.StructType([*rest, T.StructField("text", T.StringType())])
 

@@ -144,7 +144,7 @@ def test_rare_words_meet_their_counts(spark, monkeypatch):
 
 @pytest.fixture(scope="module")
 def model():
-    return html.train(html.labelled_pages(1200))
+    return html.train(html.labelled_pages(1500))
 
 
 def test_held_out_pages(model):
