@@ -21,6 +21,7 @@ from .operators import pools
 from .operators import ranking as R
 from .operators import segments as S
 from .settings import InvalidArgument, Settings
+from .shipping import ship
 
 
 @dataclass(frozen=True)
@@ -70,6 +71,7 @@ def _domain(name: str) -> str:
 
 def websearch(spec: SearchSpec, settings: Settings, queries: DataFrame, hits: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
     """One row per result of the asked page: rank, URL, providers, relevance, ranking, evidence status and quotes."""
+    ship(hits.sparkSession)
     s = settings.search
     pool, counts = pools.collect(hits, list(spec.sites), list(spec.exclude_domains), s.max_upstream_requests, s.max_pages_per_query, s.max_candidates)
     text = F.concat_ws("\n", "title", "snippet")

@@ -152,7 +152,7 @@ def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", X.backoff_ms(F.col("event_id") % 13 + 1, code, F.lit(False)).alias("rest_ms"))
 
 
-@query("X24_retry_after", "select event_id, case event_id % 4 when 0 then 1000.0 when 1 then (event_id % 50) * 1000.0 when 2 then 5000.0 end as wait_ms from events where event_id % 4 <> 1 or event_id % 50 > 0 union all select event_id, null from events where event_id % 4 = 1 and event_id % 50 = 0")
+@query("X24_retry_after", "select event_id, (case event_id % 4 when 0 then 1000.0 when 1 then (event_id % 50) * 1000.0 when 2 then 5000.0 end)::double as wait_ms from events where event_id % 4 <> 1 or event_id % 50 > 0 union all select event_id, null from events where event_id % 4 = 1 and event_id % 50 = 0")
 def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.date_trunc("second", F.col("ts"))
     value = F.when(F.col("event_id") % 4 == 0, F.lit(None)).when(F.col("event_id") % 4 == 1, (F.col("event_id") % 50).cast("string")).when(F.col("event_id") % 4 == 2, F.date_format(at + F.expr("interval 5 seconds"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).otherwise(F.lit("soon"))
