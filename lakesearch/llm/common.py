@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 CHUNK = 1 << 20
 U = np.uint64
 
@@ -53,7 +55,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, so that long texts do not add up in a Python worker."""
+    """Arrow batches of few rows, so that long texts do not add up in a Python worker; the workers get this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
