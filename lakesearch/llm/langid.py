@@ -13,7 +13,8 @@ short texts too.  Applying the network needs two table lookups for a filter of f
 bytes, since a response is a sum over byte pairs.
 
 `und` with score 0 is the answer for null texts and texts without a letter, and for
-all if no labelled row can be learned from.  Labels that are null are not learned.
+all if no labelled row can be learned from.  Labels that are null and texts
+that are null or empty are not learned.
 Other columns, doc_id and source included, are never inputs of a prediction.
 """
 
@@ -149,8 +150,8 @@ def probabilities(net: Network, tables: list[list[np.ndarray]], data: np.ndarray
 
 def learn(docs: DataFrame, trains: Column, per_label: int = PER_LABEL, text: str = "text", label: str = "lang", key: str = "doc_id") -> Network | None:
     """A network from a bounded sample of the labelled rows where `trains` holds; None if there are none."""
-    rows = docs.where(trains & F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in rows.where(F.length(text) > 0).groupBy(label).agg(F.count("*")).collect()}
+    rows = docs.where(trains & F.col(label).isNotNull() & (F.length(text) > 0))
+    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*")).collect()}
     if not counts:
         return None
     draw = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))

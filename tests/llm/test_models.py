@@ -55,6 +55,14 @@ def test_undetermined(spark):
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "en" and got[5][0] == "en"
 
 
+def test_labelled_null_text_is_not_learned(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(langid, "train", lambda texts, labels: drawn.extend(zip(texts, labels, strict=True)))
+    df = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "Hello there", "en"), (4, "der hund", "de"), (5, None, "fr")], "doc_id long, text string, lang string")
+    langid.learn(df, df.doc_id > 0)
+    assert drawn == [(b"hello there", "en"), (b"der hund", "de")]
+
+
 def _kt(a, b):
     return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
 
