@@ -111,9 +111,11 @@ def mix(docs: DataFrame, target_entropy: float = 0.95, max_repeats: float = 4.0,
     return C.unpacked(done, docs.columns, ["_tokens", "_weight", "_copies"])
 
 
-def realise(docs: DataFrame, **options: object) -> DataFrame:
-    """The mixture itself: each row of `docs` as often as it has copies, in the columns of `docs`."""
+def realise(docs: DataFrame, repeat: bool = True, **options: object) -> DataFrame:
+    """The mixture itself: each row of `docs` as often as it has copies, or once if not `repeat`, in the columns of `docs`."""
     done = mix(docs.select(C.packed(docs).alias("_whole"), "doc_id", "source", "text"), **options).where("_copies > 0")
+    if not repeat:
+        return done.select("_whole.*")
     once = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")
     return done.select("_whole", once).select("_whole.*")
 

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import collections
+import math
+
 import corpus_pipeline as P
 from parity import SF
 
@@ -30,3 +33,22 @@ def test_odd_rows(odd, spark):
     for _, stage in P.STAGES[:-1]:
         df = stage(spark, df, SF)
     assert P.STAGES[-1][1](spark, df, SF).count() <= odd.count()
+
+
+def test_a_tiny_source_shrinks_nothing(spark):
+    """One hot source, 19 equal ones and a null one of a single document: all but the hot one stay whole."""
+    sizes = {"hot": 950, **{f"s{i:02}": 100 for i in range(19)}, None: 1}
+    rows = [(s, k) for s, n in sizes.items() for k in range(n)]
+    docs = spark.createDataFrame([(i, s, "w " * 5) for i, (s, _) in enumerate(rows)], "doc_id long, source string, text string")
+    ids = [r["doc_id"] for r in P.source_mixing(spark, docs, SF).collect()]
+    kept = collections.Counter(rows[i][0] for i in ids)
+    # brute force: the least exponent whose weights are at most four times the shares, if the one for the entropy is below
+    total = len(rows)
+    weights = lambda x: {s: (n / total) ** x / sum((m / total) ** x for m in sizes.values()) for s, n in sizes.items()}
+    xs = [k / 10_000 for k in range(10_001)]
+    x = min(x for x in xs if max(w * total / sizes[s] for s, w in weights(x).items()) <= 4)
+    even = lambda w: -sum(v * math.log(v) for v in w.values()) / math.log(len(w))
+    x = max(x, max((x for x in xs if even(weights(x)) >= 0.95), default=0.0))
+    want = {s: min(n, weights(x)[s] * total) for s, n in sizes.items()}
+    assert len(ids) == len(set(ids)) and all(want[s] - 2 <= kept[s] <= want[s] + 1 for s in sizes)
+    assert all(kept[s] == n for s, n in sizes.items() if s != "hot")
