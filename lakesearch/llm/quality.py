@@ -82,7 +82,7 @@ FIELDS = T.StructType([
 
 
 def judge(data: np.ndarray, bounds: np.ndarray, rules: Rules, with_text: bool) -> dict[str, np.ndarray | list]:
-    """All figures of a chunk of texts, and the texts of the passing lines."""
+    """All figures of a chunk of texts, and the passing lines of those where a line fails."""
     inside = ~C.SPACE[data]
     starts, ends, first = C.word_spans(data, bounds, inside)
     words = C.span_hashes(data, starts, ends)
@@ -172,13 +172,11 @@ def judge(data: np.ndarray, bounds: np.ndarray, rules: Rules, with_text: bool) -
         "n_lines_failed": C.per_row(fail, span), "n_words_lost": n_lost,
     }
     if with_text:
-        raw, texts = data.tobytes(), []
-        for i in range(len(n_lines)):
+        raw = data.tobytes()
+        texts: list[str | None] = [None] * len(n_lines)
+        for i in np.flatnonzero(out["n_lines_failed"]):
             a, b = span[i], span[i + 1]
-            if not fail[a:b].any():
-                texts.append(raw[bounds[i] : bounds[i + 1]].decode("utf-8", "replace"))
-            else:
-                texts.append(b"\n".join(raw[line_at[j] : line_end[j]] for j in range(a, b) if not fail[j]).decode("utf-8", "replace"))
+            texts[i] = b"\n".join(raw[line_at[j] : line_end[j]] for j in range(a, b) if not fail[j]).decode("utf-8", "replace")
         out["clean_text"] = texts
     return out
 
@@ -186,25 +184,29 @@ def judge(data: np.ndarray, bounds: np.ndarray, rules: Rules, with_text: bool) -
 def quality(docs: DataFrame, text: str = "text", rules: Rules = Rules(), with_text: bool = True) -> DataFrame:
     """`docs` with one struct column `quality`: the counts, the verdicts and `clean_text`, the passing lines.
 
-    One pass over the rows, no shuffle.  `with_text=False` leaves `clean_text` out.  A column
-    of `docs` that is named `quality` itself gives way.
+    One pass over the rows, no shuffle.  Only the text goes to Python, and a text comes back only where
+    lines have failed.  `with_text=False` leaves `clean_text` out.  A column of `docs` that is named
+    `quality` itself gives way.
     """
     C.small_batches(docs.sparkSession)
     docs = docs.drop("quality")
     fields = [f for f in FIELDS if with_text or f.name != "clean_text"]
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality", T.StructType(fields))])
     arrow = [pa.field(f.name, {"long": pa.int64(), "bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[f.dataType.simpleString()]) for f in fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, bounds in C.chunks(batches, text):
-            got = judge(data, bounds, rules, with_text)
-            if with_text:
-                given = batch.column(batch.schema.get_field_index(text)).is_valid().to_pylist()
-                got["clean_text"] = [x if ok else None for x, ok in zip(got["clean_text"], given, strict=True)]
-            column = pa.StructArray.from_arrays([pa.array(got[f.name], f.type) for f in arrow], fields=arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "quality"])
-
-    return docs.mapInArrow(run, schema)
+    def judged(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            parts = [pa.array([], pa.struct(arrow))]
+            for _, data, bounds in C.chunks([pa.RecordBatch.from_arrays([column], names=["t"])], "t"):
+                got = judge(data, bounds, rules, with_text)
+                parts.append(pa.StructArray.from_arrays([pa.array(got[f.name], f.type) for f in arrow], fields=arrow))
+            yield pa.concat_arrays(parts)
+
+    # not to be moved or repeated by the optimiser: one evaluation a row, whatever is selected from it
+    found = docs.withColumn("quality", F.arrow_udf(judged, T.StructType(fields)).asNondeterministic()(F.col(text)))
+    if not with_text:
+        return found
+    clean = F.when(F.col("quality.n_lines_failed") > 0, F.col("quality.clean_text")).otherwise(F.col(text))
+    return found.withColumn("quality", F.col("quality").withField("clean_text", clean))
 
 
 def keep_clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
