@@ -19,7 +19,7 @@ OPERATORS = {
     "score": lambda d: ctw.score(d, F.lit(True)), "predict": lambda d: langid.predict(d, langid.learn(d, F.lit(True), per_label=20)),
     "html": lambda d: html.main_text(d.withColumnRenamed("text", "html"), html.train(html.labelled_pages(20))),
 }
-ALL_ROWS = {"quality", "near_duplicates", "mix", "shard", "scan", "score", "predict", "html"}
+ALL_ROWS = {"quality", "summary", "near_duplicates", "mix", "shard", "scan", "score", "predict", "html"}
 SAME_COLUMNS = {"keep_clean", "keep_one", "remove_leaks", "realise", "realise_once", "drop_lines"}
 
 

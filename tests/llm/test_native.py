@@ -69,3 +69,27 @@ def test_cleaned_text(spark):
     df = spark.createDataFrame([(1, "one two three four five six\nshort\n\nshort"), (2, "One  two three four five SEVEN\nfresh words"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in lines.drop_lines(df).collect()}
     assert got == {1: "one two three four five six\nshort\n", 2: "fresh words", 3: None}
+
+
+def survivors(rows, order):
+    """Brute force: the lines that stay of every row, rows standing in the order of (doc_id, order, place in the list)."""
+    places = [((r[0] if r[0] is not None else -1, order[i], i, k), x.lower().split()) for i, r in enumerate(rows) if r[1] is not None for k, x in enumerate(r[1].split("\n"))]
+    out = []
+    for i, r in enumerate(rows):
+        mine = [(p, w) for p, w in places if p[2] == i]
+        gone = {p[3] for p, w in mine if w and any(q < p and (v == w or (min(len(v), len(w)) >= lines.MIN_WORDS and distance_at_most_one(v, w))) for q, v in places if v)}
+        out.append((r[0], None if r[1] is None else "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in gone)))
+    return out
+
+
+def test_repeated_and_null_ids_lose_nothing(spark):
+    """Rows that share a doc_id, or have none, are documents of their own."""
+    x = "this is the line that both of them have here"
+    rows = [(4, x), (5, f"{x}\nkeep me one"), (5, "a quite different line of some six words\nkeep me two"), (None, f"first of none\n{x}"), (None, "second of none\nown words"), (7, None), (5, f"{x}\nkeep me one"), (None, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    codes = [r[0] for r in df.selectExpr("xxhash64(text)").collect()]
+    want = sorted(survivors(rows, codes), key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in lines.drop_lines(df).collect()), key=str) == want
+    assert (5, "a quite different line of some six words\nkeep me two") in want and (None, "second of none\nown words") in want
+    counts = sorted(((r["doc_id"], r["n_lines"], r["n_lines"] - len(r["dropped_lines"])) for r in lines.summary(df).collect()), key=str)
+    assert counts == sorted(((a[0], len([x for x in (b[1] or "").split("\n") if x.strip()]), len([x for x in (a[1] or "").split("\n") if x.strip()])) for a, b in zip(survivors(rows, codes), rows, strict=True)), key=str)
