@@ -7,9 +7,9 @@ rectified, and a linear layer with softmax gives the languages' probabilities.
 document's are the mean over its windows, weighted by their bytes, so every byte of
 a text counts and no text is cut.
 
-Training uses at most about `PER_LABEL` documents of each language, chosen by a hash
-of doc_id, and of each at most `EXCERPT` characters; crops of random length teach
-short texts too.  Applying the network needs two table lookups for a filter of four
+Training uses about `PER_LABEL` different documents of each language, one at least,
+those of the smallest hashes of doc_id and text, and of each a passage of `EXCERPT`
+characters from any place in it; crops of random length teach short texts too.  Applying the network needs two table lookups for a filter of four
 bytes, since a response is a sum over byte pairs.
 
 `und` with score 0 is the answer for null texts and texts without a letter, and for
@@ -151,14 +151,17 @@ def probabilities(net: Network, tables: list[list[np.ndarray]], data: np.ndarray
 def learn(docs: DataFrame, trains: Column, per_label: int = PER_LABEL, text: str = "text", label: str = "lang", key: str = "doc_id") -> Network | None:
     """A network from a bounded sample of the labelled rows where `trains` holds; None if there are none."""
     rows = docs.where(trains & F.col(label).isNotNull() & (F.length(text) > 0))
-    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*")).collect()}
-    if not counts:
+    draw = F.pmod(F.xxhash64(F.lit(17), F.col(key), F.col(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    found = rows.groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n"), F.min(draw).alias("least")).collect()
+    if not found:
         return None
-    draw = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_label / n))))
-    sample = rows.where(draw < share[F.col(label)]).select(F.col(key).alias("k"), F.col(label).alias("y"), F.substring(text, 1, EXCERPT).alias("t")).limit(2 * per_label * len(counts)).toPandas()
-    sample = sample.sort_values(["k", "t"], kind="stable")
-    texts = [bytes(C.LOWER[np.frombuffer(t.encode(), np.uint8)]) for t in sample.t]
+    share = F.create_map(*(F.lit(x) for r in found for x in (r["y"], max(min(1.0, per_label / r["n"]), r["least"]))))
+    room = F.greatest(F.length(text) - EXCERPT, F.lit(0)) + 1
+    passage = F.substring(F.col(text), (F.pmod(F.xxhash64(F.lit(18), F.col(text)), room) + 1).cast("int"), F.lit(EXCERPT))
+    drawn = rows.where(draw <= share[F.col(label)]).select(draw.alias("k"), F.col(label).alias("y"), passage.alias("t"))
+    # equal rows are drawn together, so different ones are taken, and their number follows per_label whatever repeats
+    sample = drawn.distinct().toPandas().sort_values(["k", "y", "t"], kind="stable")
+    texts = [bytes(C.LOWER[np.frombuffer(t.encode("utf-8", "replace"), np.uint8)]) for t in sample.t]
     return train(texts, sample.y.tolist())
 
 

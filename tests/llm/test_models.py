@@ -200,3 +200,13 @@ def test_pages(spark, model):
 ])
 def test_small_pages(model, page, text):
     assert html.extract(page, model) == text
+
+
+def test_repeated_ids_leave_a_sample(spark, monkeypatch):
+    """However often a doc_id repeats, each language is drawn from, and equal rows are drawn once."""
+    drawn = []
+    monkeypatch.setattr(langid, "train", lambda texts, labels: drawn.append(Counter(labels)))
+    for key in range(5):
+        df = spark.range(400).selectExpr(f"{key}L as doc_id", "case when id < 390 then 'the same text' else concat('der hund ', id) end as text", "case when id < 390 then 'en' else 'de' end as lang")
+        langid.learn(df, df.doc_id >= 0, per_label=3)
+    assert all(x["en"] == 1 and 1 <= x["de"] <= 10 for x in drawn) and len(drawn) == 5
