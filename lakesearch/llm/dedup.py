@@ -17,8 +17,9 @@ After each, the posterior probability that the similarity reaches the threshold
 confirmed on the full sets, so no unconfirmed pair is ever linked.
 
 Nulls, empty texts and texts without words have the empty set and are linked
-with nothing.  Rows that share a doc_id are equal in the result; a null doc_id
-counts as a document, and a group of nothing else has a null component.
+with nothing.  Nodes are numbered by their sets and not by doc_id, so rows that
+repeat a doc_id or have none are linked by their own texts; a component is named
+by its smallest doc_id that is not null, and one of nothing else by null.
 """
 
 from __future__ import annotations
@@ -49,6 +50,9 @@ class Plan:
     block: int = 1024
 
 
+SLICE = 4096
+
+
 @lru_cache
 def _multipliers(n: int) -> np.ndarray:
     return C.mix(np.arange(1, n + 1, dtype=C.U) * C.U(C.BASE)) | C.U(1)
@@ -122,7 +126,7 @@ def survivors(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, plan:
 
 
 def profile(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
-    """key, n_shingles, the set's 128-bit hash (h1, h2) and the hash of each band."""
+    """doc_id, code (the text's hash), n_shingles, the set's 128-bit hash (h1, h2) and the hash of each band."""
     C.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,13 +140,14 @@ def profile(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
             keys = _band_keys(signatures(grams, at, plan.bands * plan.rows), plan)
             flat = pa.array(keys.ravel())
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * plan.bands), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), bands], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), bands], names=["doc_id", "code", "n_shingles", "h1", "h2", "bands"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("code"), F.col(text).alias("_text"))
+    return rows.mapInArrow(run, "doc_id long, code long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
-    """node, its signature, its set (both as bytes) and its bands' hashes."""
+def _sets(texts: DataFrame, plan: Plan) -> DataFrame:
+    """node, its signature, its set (both as bytes) and its bands' hashes, from node and _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in C.chunks(batches, "_text"):
@@ -152,7 +157,7 @@ def _sets(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
             rows = [pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([grams[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in keys], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *rows], names=["node", "sig", "shingles", "keys"])
 
-    return docs.select(F.col(key).alias("node"), F.col(text).alias("_text")).mapInArrow(run, "node long, sig binary, shingles binary, keys binary")
+    return texts.select("node", "_text").mapInArrow(run, "node long, sig binary, shingles binary, keys binary")
 
 
 def _rows(column: pa.Array, kind: type) -> np.ndarray:
@@ -212,25 +217,33 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         label = new.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of `docs`."""
+def _linked(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
+    """doc_id, code, n_shingles, label and component_id for every row of `docs`; rows of one component share a label, empty sets have none."""
     base = C.save(profile(docs, plan, key, text), "profile")
     some = base.where("n_shingles > 0")
-    node = C.save(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    # one row of each set: the smallest doc_id, null ids after all others
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "code")).alias("first")
+    node = some.groupBy("h1", "h2", "n_shingles").agg(first, F.first("bands").alias("bands"))
+    node = C.save(node.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", F.col("n_shingles").alias("_n"), "first.doc_id", "first.code", "bands"), "nodes")
 
     # buckets with two nodes or more, and how central each node is
-    member = node.where("node is not null").select("node", F.explode("bands").alias("bucket"))
+    member = node.select("node", F.explode("bands").alias("bucket"))
     full = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     member = C.save(member.join(full, "bucket"), "members")
     central = member.groupBy("node").agg(F.sum("m").alias("rank"))
     member = C.save(member.join(central, "node"), "ranked")
-    # each node's set, read once from one row that has it
-    wanted = docs.select(F.col(key).alias("_key"), F.col(text).alias("_value")).join(central.select(F.col("node").alias("_key")), "_key", "left_semi")
-    sets = C.save(_sets(wanted, plan, "_key", "_value").dropDuplicates(["node"]), "sets")
-
-    centre = member.groupBy("bucket").agg(F.max_by("node", F.struct("rank", -F.col("node"))).alias("centre"))
-    star = member.join(centre, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    star = C.save(star, "stars")
+    # each node's set, read once from a row that has it
+    source = node.join(central, "node", "left_semi").select("node", F.xxhash64("doc_id", "code").alias("_of"))
+    texts = docs.select(F.xxhash64(F.col(key).cast("long"), F.xxhash64(text)).alias("_id"), F.col(text).alias("_text"))
+    sets = C.save(_sets(texts.join(source, F.col("_id") == F.col("_of")), plan).dropDuplicates(["node"]), "sets")
+
+    # the most central node of a bucket; a bucket's rows meet it in slices, so that no key of the join is heavy
+    centre = member.groupBy("bucket").agg(F.max_by("node", F.struct("rank", -F.col("node"))).alias("centre"), F.first("m").alias("_m"))
+    slices = F.floor(F.col("_m") / SLICE)
+    centre = centre.select(F.col("bucket").alias("_bucket"), "centre", F.explode(F.sequence(F.lit(0).cast("long"), slices)).alias("_slice"))
+    mine = F.pmod(F.xxhash64("node"), F.floor(F.col("m") / SLICE) + 1)
+    star = member.join(centre, (F.col("bucket") == F.col("_bucket")) & (mine == F.col("_slice"))).where("node <> centre")
+    star = C.save(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "stars")
     links = C.save(_confirm(_prune(star, sets, plan), sets, plan), "confirmed")
     label = components(links)
 
@@ -242,10 +255,20 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", t
     if not more.isEmpty():
         label = components(links.union(more))
 
-    merged = node.join(label, "node", "left").select("h1", "h2", F.col("n_shingles").alias("_n"), F.coalesce("label", "node").alias("component_id"))
+    named = C.save(node.select("node", "doc_id", "h1", "h2", "_n").join(label, "node", "left").select("doc_id", "h1", "h2", "_n", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("shared")), "named")
+    names = named.where("shared").groupBy(F.col("label").alias("_label")).agg(F.min("doc_id").alias("component_id"))
+    shared = named.where("shared").join(names, F.col("label") == F.col("_label"))
+    alone = named.where("not shared").withColumn("component_id", F.col("doc_id"))
+    merged = shared.select("h1", "h2", "_n", "label", "component_id").union(alone.select("h1", "h2", "_n", "label", "component_id"))
     done = some.drop("bands").join(merged.withColumnsRenamed({"h1": "_h1", "h2": "_h2"}), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n_shingles") == F.col("_n")))
-    done = done.select("doc_id", "n_shingles", "component_id").union(base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return done.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    none = base.where("n_shingles = 0").select("doc_id", "code", "n_shingles", F.lit(None).cast("long"), F.col("doc_id"))
+    return done.select("doc_id", "code", "n_shingles", "label", "component_id").union(none)
+
+
+def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of `docs`."""
+    done = _linked(docs, plan, key, text)
+    return done.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _apart(named: DataFrame, plan: Plan) -> DataFrame:
@@ -315,9 +338,19 @@ def _band_keys(sig: np.ndarray, plan: Plan) -> np.ndarray:
 
 
 def keep_one(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """The rows of `docs` whose document is the first of its component."""
-    kept = near_duplicates(docs, plan).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of each component, the smallest doc_id's, a null one's only where there is no other; rows without words all stay."""
+    done = C.save(_linked(docs, plan, "doc_id", "text"), "linked")
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "code")).alias("p")
+    kept = done.where("label is not null").groupBy("label").agg(place).select("p.doc_id", "p.code")
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("code").alias("_code"), F.lit(True).alias("_one"))
+    none = done.where("label is null").select("doc_id", "code", F.lit(False)).distinct()
+    rows = docs.select(C.packed(docs), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"))
+    rows = rows.join(kept.union(none), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_code")))
+    # where several rows are equal in doc_id and text, one of them
+    several = done.where("label is not null").groupBy(F.col("doc_id").alias("_twin"), F.col("code").alias("_twin_code")).agg(F.count("*").alias("_n")).where("_n > 1")
+    rows = rows.join(several, F.col("_doc").eqNullSafe(F.col("_twin")) & (F.col("_text") == F.col("_twin_code")), "left")
+    twins = rows.where("_one and _n is not null").groupBy("_doc", "_text").agg(F.first("_row").alias("_row")).select("_row")
+    return rows.where("not _one or _n is null").select("_row").union(twins).select("_row.*")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,23 @@ def test_chain_is_one_component(spark):
 def test_least_matches_grow():
     found = dict(D.least_matches(D.Plan()))
     assert found[64] < 64 * 0.8 and found[1024] > 1024 * 0.72 and list(found.values()) == sorted(found.values())
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows are linked by their own texts, whatever their ids."""
+    a, b = " ".join(f"a{i}" for i in range(200)), " ".join(f"b{i}" for i in range(200))
+    near = b.replace("b199", "c")
+    plan = D.Plan(words=3, percent=85)
+    df = spark.createDataFrame([(1, a), (1, b), (2, near)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in D.near_duplicates(df, plan).collect()) == [(1, 198, 1, True), (1, 198, 1, True), (2, 198, 1, False)]
+    df = spark.createDataFrame([(None, b), (None, b), (7, near), (None, a), (None, a), (8, None), (8, None), (9, "one")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in D.near_duplicates(df, plan).collect()), key=str)
+    assert got == sorted([(None, 7, False), (None, 7, False), (7, 7, True), (None, None, True), (None, None, True), (8, 8, True), (8, 8, True), (9, 9, True)], key=str)
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = " ".join(f"a{i}" for i in range(200)), " ".join(f"b{i}" for i in range(200))
+    rows = [(1, a, 0), (1, a, 1), (1, b, 2), (2, b, 3), (5, a, 4), (5, "quite another text", 5), (None, a, 6), (None, "of its own", 7), (None, "of its own", 8), (3, None, 9), (3, None, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").coalesce(1)
+    kept = sorted(r["n"] for r in D.keep_one(df).collect())
+    assert [x for x in kept if x > 1] == [2, 5, 7, 9, 10] and len([x for x in kept if x < 2]) == 1
