@@ -11,11 +11,22 @@ Potentials are trained here, by the gradient of the exact likelihood, on labelle
 pages that `labelled_pages` composes: semantic and div-only layouts, menus, headers,
 footers, sidebars, notices, adverts, forms, reader comments, unclosed tags.
 
+Classes, ids and roles are read token by token; a token's last word that tells
+something speaks for it, and tokens of the page (`has-sidebar`, `tag-news`) or on
+`html` and `body` say nothing.  What an element is called gives way to what it holds:
+where a telling name stands on or above a marked article with half of the page's
+words outside links, the name is not a feature, and the element counts as its box.
+
 White space is what Python's str.split splits at, the no-break space included.  A
 `br` and the start and the end of a block element end a block.  Scripts, styles,
-templates, titles, drawings, fallbacks, comments and markup are never text.  Null and empty html give an
-empty text; html without tags is one block.  Tags that never close end with their
-parent, and end tags without a start are ignored.
+templates, titles, drawings, fallbacks, comments and markup are never text; such an
+element ends at its own end tag, and one that has none is empty, but for `script`,
+`style`, `title` and `textarea`, which run to the end of the page unless they close
+themselves.  Null and empty html give an empty text; html without tags is one block.
+Other tags that never close end with their parent, and end tags without a start are
+ignored.  A `<` after which no `>` comes is text.  Parsing takes time in proportion to
+the page, whatever is nested or left open in it: after `QUOTES` tags whose quotes do
+not pair, the rest of the tags end at the next `>`.
 """
 
 from __future__ import annotations
@@ -24,8 +35,9 @@ import html as entities
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,17 +46,18 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<start2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",
-    re.DOTALL,
-)
+_OPEN = re.compile(r"[a-zA-Z][^\s/>]*")
+_MARK = re.compile(r"[>\"']")
+_HUGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
+QUOTES = 16
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 
 # Fixed values of HTML: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template iframe noembed noframes noscript xmp svg canvas object audio video".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+TO_END = frozenset("script style title textarea".split())
+FALLBACK = frozenset("template svg canvas object audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "thead tbody tfoot", "tbody": "thead tbody tfoot", "tfoot": "thead tbody tfoot"}
@@ -61,7 +74,7 @@ GROUPS = {
     "form": "form search login signup signin subscribe subscription newsletter register input",
     "talk": "comment comments respond reply replies discussion disqus thread responses feedback reader",
     "share": "share sharing social follow tags tag meta byline author print tools",
-    "main": "article content main post entry story body text page prose maintext articlebody",
+    "main": "article content main post entry hentry story body text page prose maintext articlebody",
 }
 _GROUP = {w: g for g, words in GROUPS.items() for w in words.split()}
 _TELLING = frozenset({"menu", "head", "foot", "side", "ad", "note", "form", "talk", "share"})
@@ -78,14 +91,23 @@ class Page:
     runs: list[tuple[int, int, str, bool]] = field(default_factory=list)
 
 
+#: First words of a token that tells of the page or of a topic, and last words that tell of a shape.
+_ASIDE = frozenset("has no not with without is js supports tag category cat type status format".split())
+_SHAPE = frozenset("fixed sticky wrapper wrap container inner outer".split())
+
+
 def _groups(attrs: str) -> tuple[frozenset[str], int | None]:
     found, label = set(), None
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id", "role"):
-            for word in _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()):
-                if group := _GROUP.get(word):
-                    found.add(group)
+            for token in value.split():
+                words = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+                if len(words) > 1 and words[0] in _ASIDE:
+                    continue
+                telling = [_GROUP[w] for w in words if w in _GROUP and (len(words) == 1 or w not in _SHAPE)]
+                if telling:
+                    found.add(telling[-1])
         elif name in ("hidden", "aria-hidden") and value != "false" or name == "style" and "display:none" in value.replace(" ", "").lower():
             found.add("hidden")
         elif name == "data-y":
@@ -93,80 +115,160 @@ def _groups(attrs: str) -> tuple[frozenset[str], int | None]:
     return frozenset(found), label
 
 
+def _plain(piece: str) -> str:
+    """Text without character references; a number beyond all characters stands for none."""
+    return entities.unescape(_HUGE.sub("\ufffd", piece)) if "&" in piece else piece
+
+
+class _Ends:
+    """Where the elements end that are skipped whole; each kind's tags are looked for once a page."""
+
+    def __init__(self, html: str):
+        self.html, self.none, self.pairs = html, set(), {}
+
+    def raw(self, name: str, start: int) -> int | None:
+        """After the next end tag of `name`."""
+        if name in self.none:
+            return None
+        close = re.compile(rf"</{name}(?=[\s/>])[^<>]*>", re.IGNORECASE).search(self.html, start)
+        if close is None:
+            self.none.add(name)
+            return None
+        return close.end()
+
+    def nested(self, name: str, tag: int) -> int | None:
+        """After the end tag that belongs to the start tag of `name` at `tag`."""
+        if name not in self.pairs:
+            found, left = {}, []
+            for m in re.finditer(rf"<(/?){name}(?=[\s/>])[^<>]*>", self.html, re.IGNORECASE):
+                if not m[1]:
+                    left += [] if m[0].endswith("/>") else [m.start()]
+                elif left:
+                    found[left.pop()] = m.end()
+            self.pairs[name] = found
+        return self.pairs[name].get(tag)
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Where the next `>` outside quotes is, or -1."""
+    while (m := _MARK.search(html, at)) and m[0] != ">":
+        at = html.find(m[0], m.end()) + 1
+        if not at:
+            return -1
+    return m.start() if m else -1
+
+
 def parse(html: str) -> Page:
     """The page's nodes and text runs, in one pass over the tags."""
-    page = Page()
+    page, ends = Page(), _Ends(html)
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with their node
-    block = at = links = 0
-    n, end = len(html), 0
+    open_at: dict[str, list[int]] = {}  # by name, where open elements stand in the stack
+    boxes = [0]  # where those that are no inline elements stand
+    block = at = end = links = 0
+    n, tries = len(html), QUOTES
 
     def text(upto: int) -> None:
         if upto > at:
-            piece = html[at:upto]
-            page.runs.append((stack[-1][1], block, entities.unescape(piece) if "&" in piece else piece, links > 0))
+            page.runs.append((stack[-1][1], block, _plain(html[at:upto]), links > 0))
 
     def pop_to(depth: int) -> None:
         nonlocal links
-        links -= sum(tag == "a" for tag, _ in stack[depth:])
-        del stack[depth:]
+        while len(stack) > depth:
+            name, _ = stack.pop()
+            open_at[name].pop()
+            links -= name == "a"
+            if boxes[-1] == len(stack):
+                boxes.pop()
+
+    def innermost(names: Iterable[str]) -> int:
+        return max((open_at[x][-1] for x in names if open_at.get(x)), default=0)
 
     while True:
-        m = _TOKEN.search(html, end)
+        tag = html.find("<", end)
+        if tag < 0:
+            break
+        if html.startswith("<!--", tag):
+            close = html.find("-->", tag + 2)
+            text(tag)
+            at = end = close + 3 if close >= 0 else n
+            continue
+        sign = html[tag + 1 : tag + 2]
+        m = _OPEN.match(html, tag + 1 + (sign == "/"))
+        if m is None and (not sign or sign not in "!?"):
+            end = tag + 1
+            continue
+        first = m.end() if m else tag + 1
+        close = _tag_end(html, first) if m and sign != "/" and tries else -1
+        if close < 0:
+            tries -= m is not None and sign != "/" and tries > 0
+            close = html.find(">", first)
+            if close < 0:
+                break
+        text(tag)
+        at = end = close + 1
         if m is None:
-            text(n)
-            return page
-        text(m.start())
-        at = end = m.end()
-        name = m["start"] or m["start2"]
-        if name:
-            name = name.lower()
-            if name in VOID:
-                block += name not in ("wbr", "img", "input", "embed")
-                continue
-            if name in RAW:
-                close = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(html, end)
-                at = end = close.end() if close else n
-                block += name not in ("script", "style", "template")
-                continue
-            attrs = m["attrs"] if m["attrs"] is not None else m["attrs2"]
-            groups, label = _groups(attrs) if "=" in attrs or "hidden" in attrs else (frozenset(), None)
+            continue
+        name = m[0].lower()
+        if sign == "/":
             inline = name in INLINE
-            if not inline:
-                block += 1
-                if name in CLOSES_P:
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if stack[depth][0] == "p":
-                            pop_to(depth)
-                            break
-                        if stack[depth][0] not in INLINE:
-                            break
-                if name in SIBLINGS:
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if stack[depth][0] in SIBLINGS[name].split():
-                            pop_to(depth)
-                            if name not in ("tr", "thead", "tbody", "tfoot"):
-                                break
-                        elif stack[depth][0] in SCOPE[name]:
-                            break
-            node = stack[-1][1]
-            if not inline or groups & _TELLING or "hidden" in groups:
-                page.parent.append(node)
-                page.tags.append(name)
-                page.groups.append(groups)
-                page.labels.append(page.labels[node] if label is None else label)
-                node = len(page.tags) - 1
-            links += name == "a"
-            stack.append((name, node))
-        elif m["end"]:
-            name = m["end"].lower()
-            if name not in INLINE:
-                block += 1
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
+            block += not inline
+            depth = innermost((name,))
+            if depth and (not inline or depth > boxes[-1]):  # an inline end tag does not close boxes
+                pop_to(depth)
+            continue
+        attrs = html[first:close]
+        if name in VOID:
+            block += name not in ("wbr", "img", "input", "embed")
+            continue
+        if name in RAW or name in FALLBACK:
+            empty = attrs.endswith("/")
+            stop = ends.raw(name, at) if name in RAW else None if empty else ends.nested(name, tag)
+            if stop is None and name in TO_END and not empty:
+                stop = n
+            at = end = max(end, stop or 0)
+            block += name not in ("script", "style", "template")
+            continue
+        groups, label = _groups(attrs) if "=" in attrs or "hidden" in attrs else (frozenset(), None)
+        if name in ("html", "body"):
+            groups = frozenset()
+        inline = name in INLINE
+        if not inline:
+            block += 1
+            if name in CLOSES_P and stack[boxes[-1]][0] == "p":
+                pop_to(boxes[-1])
+            if name in SIBLINGS:
+                siblings, scope = SIBLINGS[name].split(), innermost(SCOPE[name])
+                while (depth := innermost(siblings)) > scope:
                     pop_to(depth)
-                    break
-                if name in INLINE and stack[depth][0] not in INLINE:
-                    break  # an inline end tag does not close blocks
+        node = stack[-1][1]
+        if not inline or groups & _TELLING or "hidden" in groups:
+            page.parent.append(node)
+            page.tags.append(name)
+            page.groups.append(groups)
+            page.labels.append(page.labels[node] if label is None else label)
+            node = len(page.tags) - 1
+        links += name == "a"
+        if not inline:
+            boxes.append(len(stack))
+        open_at.setdefault(name, []).append(len(stack))
+        stack.append((name, node))
+    text(n)
+    return page
+
+
+def outer(page: Page) -> list[bool]:
+    """Which nodes' telling names give way: on or above a marked article, with half of the page's words outside links."""
+    words = [0] * len(page.tags)
+    for node, _, text, link in page.runs:
+        words[node] += 0 if link else len(text.split())
+    marked = [tag == "main" or (tag == "article" or "main" in groups) for tag, groups in zip(page.tags, page.groups, strict=True)]
+    plain = [m and not groups & _TELLING for m, groups in zip(marked, page.groups, strict=True)]
+    plain = [x or tag == "main" for x, tag in zip(plain, page.tags, strict=True)]
+    holds = [False] * len(words)
+    for i in range(len(words) - 1, 0, -1):
+        words[page.parent[i]] += words[i]
+        holds[page.parent[i]] |= holds[i] or plain[i]
+    return [2 * w >= words[0] > 0 and (m or h) and "hidden" not in g for w, m, h, g in zip(words, marked, holds, page.groups, strict=True)]
 
 
 def features(page: Page) -> list[list[str]]:
@@ -178,9 +280,10 @@ def features(page: Page) -> list[list[str]]:
         linked[node] += k * link
         if k:
             last[node] = text.rstrip()[-1]
-    out = []
+    out, free = [], outer(page)
     for i, tag in enumerate(page.tags):
-        own = ["bias", f"t:{tag if tag in _KNOWN else 'other'}", *(f"g:{g}" for g in page.groups[i])]
+        groups = page.groups[i] - _TELLING if free[i] else page.groups[i]
+        own = ["bias", f"t:{tag if tag in _KNOWN else 'other'}", *(f"g:{g}" for g in groups)]
         if page.parent[i] >= 0 and page.tags[page.parent[i]] == "body":
             own.append("top")
         if w := words[i]:
@@ -199,10 +302,10 @@ _KNOWN = frozenset("#root html head body main article section div header footer
 def kinds(page: Page) -> list[str]:
     """What an edge's potential depends on: the child's telling group or main marks, or its tag, and whether what stands above tells."""
     out: list[str] = []
-    for tag, groups, parent in zip(page.tags, page.groups, page.parent, strict=True):
+    for tag, groups, parent, free in zip(page.tags, page.groups, page.parent, outer(page), strict=True):
         above = out[parent] if parent >= 0 else ""
         under = "<" if above[-1:] == "<" or above[:7] == "telling" or above in _FURNITURE else ""
-        out.append(_kind(tag, groups) + under)
+        out.append(_kind(tag, groups - _TELLING if free else groups) + under)
     return out
 
 
@@ -416,7 +519,10 @@ def _page(rng: random.Random) -> str:
     if rng.random() < 0.12:
         inner += _junk(rng, rng.choice(["talk", "share", "foot"]))
     roll = rng.random()
-    if roll < 0.5:
+    if rng.random() < 0.12:  # names that elsewhere stand on furniture
+        name = rng.choice(["post tag-news", "hentry category-social", "social-media story", "text more", "post with-sidebar", "story print", "entry related-topic"])
+        main = f'<{(t := rng.choice(["article", "article", "div"]))} class="{name}" data-y="1">{inner}</{t}>'
+    elif roll < 0.5:
         main = f'<article data-y="1"{rng.choice(["", " class=post", " id=article"])}>{inner}</article>'
     elif roll < 0.6:
         main = f'<main data-y="1">{inner}</main>'
@@ -432,14 +538,23 @@ def _page(rng: random.Random) -> str:
     beside = ""
     if rng.random() < 0.3:
         beside, main = "", rng.choice([f'<div class="wrapper">{main}{_junk(rng, "side")}</div>', f'<div class="container"><div class="row">{_junk(rng, "side")}{main}</div></div>', f"<main>{main}{_junk(rng, 'talk')}</main>", f"<div>{main}</div>"])
+    if rng.random() < 0.12:
+        main = f'<div class="{rng.choice(["site-header-fixed", "no-sidebar", "left-side", "body has-comments", "page-share", "widget-area main"])}" data-y="0">{main}</div>'
     body = "".join(before) + "<!-- x -->" + main + beside + "".join(after)
-    return f"<!DOCTYPE html><html><head><title>{_words(rng, 1, 5)}</title><style>p{{}}</style></head><body>{body}</body></html>"
+    mark = rng.choice(["", "", "", ' class="has-sidebar"', ' class="single menu-open with-comments"', ' id="page"'])
+    return f"<!DOCTYPE html><html><head><title>{_words(rng, 1, 5)}</title><style>p{{}}</style></head><body{mark}>{body}</body></html>"
+
+
+@lru_cache
+def standard() -> Model:
+    """The model of 1500 composed pages; trained once a process."""
+    return train(labelled_pages(1500))
 
 
 def main_text(pages: DataFrame, model: Model | None = None, html: str = "html") -> DataFrame:
     """`pages` with `text`, the main text, instead of the html column.  One pass, no shuffle."""
     C.small_batches(pages.sparkSession)
-    shared = pages.sparkSession.sparkContext.broadcast(model or train(labelled_pages(1500)))
+    shared = pages.sparkSession.sparkContext.broadcast(model or standard())
     rest = [f for f in pages.schema.fields if f.name not in (html, "text")]
     schema = T.StructType([*rest, T.StructField("text", T.StringType())])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -152,7 +153,7 @@ def test_rare_words_meet_their_counts(spark, monkeypatch):
 
 @pytest.fixture(scope="module")
 def model():
-    return html.train(html.labelled_pages(1500))
+    return html.standard()
 
 
 def test_held_out_pages(model):
@@ -202,6 +203,33 @@ def test_small_pages(model, page, text):
     assert html.extract(page, model) == text
 
 
+BODY = "<h1>The title</h1><p>A first sentence of the article stands here, with some words. And then a second one follows.</p>"
+TEXT = "The title A first sentence of the article stands here, with some words. And then a second one follows."
+
+
+@pytest.mark.parametrize("page", [
+    f"<body class='has-sidebar'><article>{BODY}</article></body>", f"<body><div id='page' class='no-sidebar'><div class='post'>{BODY}</div></div></body>",
+    f"<body><article class='post tag-news'>{BODY}</article></body>", f"<body><div class='site-header-fixed'><main>{BODY}</main></div></body>",
+    f"<body><article class='social-media story'>{BODY}</article></body>", f"<body><main id='content' class='left-side'>{BODY}</main></body>",
+    f"<body><div class='body has-comments'><article>{BODY}</article></div></body>", f"<body><main><div class='text more'>{BODY}</div></main></body>",
+    f"<body><article><svg class=x/>{BODY}</article></body>", f"<body><article><svg class=x><title>icon</title><g/></svg>{BODY}</article></body>",
+    f"<body><article><video src=x>{BODY}</article></body>", f"<body><article><object data=x>{BODY}</article></body>", f"<body><article><iframe src=x>{BODY}</article></body>",
+    f"<body><nav><a href=/>Home</a> <a href=/b>News</a></nav><article><audio controls>No sound here</audio>{BODY}</article><script>if (a < b) x()</script><footer>Rights</footer></body>",
+])
+def test_names_and_left_open_elements_lose_nothing(model, page):
+    assert html.extract(page, model) == TEXT
+
+
+@pytest.mark.parametrize("page", [
+    '<a "' * 100_000, '<a ">" ' * 50_000 + "'", "<div>" * 100_000 + "</p></i>" * 100_000, "<b>" * 50_000 + "<div></div></i>" * 50_000, "<li>" + "<ul><div><li></li>" * 50_000,
+    "<svg>" * 100_000, "<svg>" + "<svg " * 100_000, "<video></b" * 100_000, "</a" * 100_000, "<!--" * 100_000, "&#" + "9" * 100_000 + ";", "<script>" * 100_000, "<p><b>" * 50_000,
+])
+def test_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html.parse(page)
+    assert time.perf_counter() - began < 4
+
+
 def test_repeated_ids_leave_a_sample(spark, monkeypatch):
     """However often a doc_id repeats, each language is drawn from, and equal rows are drawn once."""
     drawn = []
