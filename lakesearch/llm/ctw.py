@@ -3,25 +3,30 @@
 A text's symbols are its UTF-8 bytes, A-Z in lower case, and an end, the byte 255
 that UTF-8 never has.  A byte is eight binary decisions, a path through a tree of
 255; each decision has a context tree of its own over the `DEPTH` bytes before,
-nearest first.  Contexts see a byte as one of 32 classes (`CLASS`: the letters, and
-six kinds of others).  Down to depth 3 all 32 children of a node are told apart;
-below, a context has a node of its own if it makes up one part in `SHARE` of all
-training positions or more, and its rarer siblings share one node.  So there are at
-most `SHARE` nodes a depth, whatever the corpus, and every position counts in one.
+nearest first, a line feed standing before the start.  Contexts are the bytes
+themselves, and every context of the training texts has a node of its own at every
+depth, however rare: the model grows with the corpus.
 
 Every node has the Krichevsky-Trofimov estimate of its zeros and ones, over all
 training texts; a node's weighted probability is half its own and half the product
 of its children's.  The predictive probability mixes the estimates of all depths by
 the resulting posterior weights; a context never seen says what its parent says.
-For a fixed corpus the probability of a byte after its context's leaf is one number,
-so scoring reads one table, a row of 256 floats for each leaf: 32768 + 3 * SHARE
-rows (230 MB) at the very most, a quarter of that on the corpora tried, broadcast.
-
-Counting is one pass that sums within each task and then by key.  Words are counted
-by their 64-bit hashes in the same pass.  The words that make up one part in
-`FREQUENT` of all tokens or more, `FREQUENT` at most, are broadcast; the other
-tokens, none of them frequent, meet their counts in a join and go back to their
-rows by a row number.
+For a fixed corpus the probability of a byte in a context is one number.
+
+1. One pass counts pairs of context and byte, summed within each task and then by key;
+   pairs of texts that do not train are there with a count of zero.
+2. The pairs are dealt out by the three nearest bytes, so all nodes from depth `TOP` + 1
+   down that hang together are in one task, which streams them in blocks and weights
+   them from the leaves up.  Sums for the nodes of depth `TOP`, at most 65536 contexts,
+   go to the driver, which weights the rest and hands down what depths 0 to `TOP` say.
+3. The same tasks go from there to the leaves and give each pair its log probability:
+   a table as long as there are different pairs.
+4. Texts are scored by that table.  The `PAIRS` most frequent pairs, at most, are
+   broadcast; the other occurrences meet their values in a join, no key of which is
+   frequent, and go back to their rows by a row number.
+
+Words are counted by their 64-bit hashes in the first pass, and meet their counts as
+pairs do: those of one part in `FREQUENT` of all tokens by broadcast, the rest by join.
 
 Null text counts as empty: one end token.  A null doc_id trains and is not held
 out.  Rows that repeat a doc_id are scored one by one.  An empty corpus gives the
@@ -42,253 +47,359 @@ from pyspark.sql import functions as F
 from . import common as C
 
 DEPTH = 6
-DENSE = 3
-SHARE = 1 << 16
+TOP = 2
+PAIRS = 1 << 21
 FREQUENT = 1 << 20
-HELD = 1 << 20
+HELD = 1 << 21
+BLOCK = 1 << 18
 END = 255
 END_WORD = 0x5F5E_454E_445F_5F5F  # stands for the end among word hashes
-#: Context classes: a-z, digits, white space, line feed, other ASCII, UTF-8 lead bytes, UTF-8 continuation bytes.
-CLASS = np.full(256, 29, np.uint8)
-CLASS[list(range(97, 123))] = np.arange(26)
-CLASS[list(range(65, 91))] = np.arange(26)
-CLASS[list(range(48, 58))] = 26
-CLASS[[9, 11, 12, 13, 32]] = 27
-CLASS[10] = 28
-CLASS[0xC0:] = 30
-CLASS[0x80:0xC0] = 31
-_START = 28
+_START = 10
+_LOG2 = math.log(2)
 
 
 def codes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A context and symbol for each byte and each row's end, as context * 256 + symbol, and the borders."""
+    """A context and symbol for each byte and each row's end, and the borders: seven bytes, the nearest the highest and the symbol the lowest."""
     ends = bounds[1:] + np.arange(len(bounds) - 1)
-    own = np.zeros(len(data) + len(ends), np.int64)
-    is_end = np.zeros(len(own), bool)
-    is_end[ends] = True
-    own[~is_end] = C.LOWER[data]
-    own[ends] = END
+    own = np.full(len(data) + len(ends), END, np.int64)
+    inside = np.ones(len(own), bool)
+    inside[ends] = False
+    own[inside] = C.LOWER[data]
     first = bounds + np.arange(len(bounds))
-    before = CLASS[own].astype(np.int64)
-    code = own
-    for d in range(DEPTH):
+    before = own
+    code = own.copy()
+    for d in range(1, DEPTH + 1):
         before = np.concatenate([[_START], before[:-1]])
         before[first[:-1]] = _START
-        code = code | (before << (8 + 5 * d))
+        code |= before << (8 * (DEPTH + 1 - d))
     return code, first
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """log gamma for x >= 0.5, by Stirling's series after eight steps of the recurrence."""
-    shift = np.zeros_like(x)
-    for i in range(8):
-        shift += np.log(x + i)
+    steps = x + 0.0
+    for i in range(1, 8):
+        steps *= x + i  # eight factors of at most 1e15 each stay far below the largest float
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
-
-
-class Tree:
-    """The leaves' predictive probabilities, from counts of (context of depth d, symbol) for d = DENSE to DEPTH."""
-
-    def __init__(self, by_depth: list[tuple[np.ndarray, np.ndarray]]):
-        """by_depth: for each depth from DENSE on, keys context * 256 + symbol and counts; below DENSE of the nodes only."""
-        wide = 32**DENSE
-        contexts = [np.arange(wide), *(np.unique(k >> 8) for k, _ in by_depth[1:])]
-        sums = []
-        for nodes, (keys, n) in zip(contexts, by_depth, strict=True):
-            below = np.zeros((len(nodes), 257))
-            np.add.at(below, (np.searchsorted(nodes, keys >> 8), (keys & 255) + 1), n)
-            np.cumsum(below, axis=1, out=below)
-            sums.append(below)
-        parents = [np.searchsorted(up, down & (32 ** (DENSE + i) - 1)) for i, (up, down) in enumerate(zip(contexts, contexts[1:], strict=False))]
-        self.table = np.zeros((sum(map(len, contexts)), 256), np.float32)
-        stack = [(0, 256)]
-        while stack:
-            lo, hi = stack.pop()
-            mid = (lo + hi) // 2
-            p = _decision([x[:, mid] - x[:, lo] for x in sums], [x[:, hi] - x[:, mid] for x in sums], parents)
-            self.table[:, lo:mid] += np.log10(1 - p)[:, None].astype(np.float32)
-            self.table[:, mid:hi] += np.log10(p)[:, None].astype(np.float32)
-            if mid - lo > 1:
-                stack += [(lo, mid), (mid, hi)]
-        # from a context to its leaf: by the first DENSE + 1 classes at once, then class by class
-        self.first = np.full(32 ** (DENSE + 1), -1, np.int32)
-        self.first[contexts[1]] = np.arange(len(contexts[1]))
-        self.children = []
-        for i in range(1, len(parents)):
-            child = np.full((len(contexts[i]) + 1, 32), -1, np.int32)  # row -1, of no node, has none
-            child[parents[i], contexts[i + 1] >> (5 * (DENSE + i))] = np.arange(len(contexts[i + 1]))
-            self.children.append(child)
-        self.start = np.cumsum([0, *map(len, contexts)])
-
-    def log10(self, code: np.ndarray) -> np.ndarray:
-        context = code >> 8
-        node = self.first[context & (32 ** (DENSE + 1) - 1)]
-        leaf = np.where(node < 0, context & (32**DENSE - 1), node + self.start[1])
-        for i, child in enumerate(self.children):
-            node = child[node, (context >> (5 * (DENSE + 1 + i))) & 31]
-            leaf = np.where(node < 0, leaf, node + self.start[i + 2])
-        return self.table.ravel()[(leaf << 8) | (code & 255)]
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(steps)
 
 
-def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _long_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _lgamma(a + 0.5) + _lgamma(b + 0.5) - math.log(math.pi) - _lgamma(a + b + 1)
 
 
-def _decision(a: list[np.ndarray], b: list[np.ndarray], parents: list[np.ndarray]) -> np.ndarray:
-    """The probability of a one in each leaf, for one decision; a, b: zeros and ones of the nodes of each depth from DENSE on.
-
-    Leaves are, in this order, the rest below each node of depth DENSE, of the next
-    depth, and so on, and the nodes of depth DEPTH.
-    """
-    rest = []
-    for i, up in enumerate(parents):
-        n = len(a[i])
-        rest.append(tuple(np.maximum(x[i] - np.bincount(up, x[i + 1], n), 0) for x in (a, b)))
-    for _ in range(DENSE):  # dense parents drop the farthest byte, the highest digit
-        a, b = [a[0].reshape(32, -1).sum(0), *a], [b[0].reshape(32, -1).sum(0), *b]
-    own = [_kt(x, y) for x, y in zip(a, b, strict=True)]
-    share: list[np.ndarray] = [np.empty(0)] * DEPTH
-    weighted = own[DEPTH]
-    for d in range(DEPTH - 1, -1, -1):
-        if d >= DENSE:
-            children = np.bincount(parents[d - DENSE], weighted, len(own[d])) + _kt(*rest[d - DENSE])
-        else:
-            children = weighted.reshape(32, -1).sum(0)
-        weighted = np.logaddexp(own[d], children) - math.log(2)
-        share[d] = np.exp(own[d] - math.log(2) - weighted)
-    # from the root down: what shallower nodes have said, the weight left, and the estimate of the deepest node seen
-    kt = [(y + 0.5) / (x + y + 1) for x, y in zip(a, b, strict=True)]
-    said, left, last = np.zeros(1), np.ones(1), kt[0]
-    leaves = []
-    for d in range(DEPTH):
-        next_said, next_left = said + left * share[d] * last, left * (1 - share[d])
-        if d >= DENSE:
-            x, y = rest[d - DENSE]
-            leaves.append(np.where(x + y > 0, next_said + next_left * (y + 0.5) / (x + y + 1), said + left * last))
-            up = parents[d - DENSE]
-        else:
-            up = np.tile(np.arange(len(said)), 32)
-        seen = a[d + 1] + b[d + 1] > 0
-        said, left, last = np.where(seen, next_said[up], said[up]), np.where(seen, next_left[up], left[up]), np.where(seen, kt[d + 1], last[up])
-    return np.concatenate([*leaves, said + left * last])
-
-
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    own, back = np.unique(keys, return_inverse=True)
-    return own, np.bincount(back, n, len(own)).astype(np.int64)
-
-
-def count(docs: DataFrame, text: str) -> DataFrame:
-    """kind (0: words, 1: contexts and symbols), key, n over all rows of `docs`, summed within tasks first."""
+_SMALL = 64
+_KT = _long_kt(np.repeat(np.arange(_SMALL), _SMALL).astype(float), np.tile(np.arange(_SMALL), _SMALL).astype(float))
+
+
+def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The log of the Krichevsky-Trofimov probability of a zeros and b ones; small counts, which most nodes have, by a table."""
+    large = np.flatnonzero((a >= _SMALL) | (b >= _SMALL))
+    out = _KT[np.minimum(a * _SMALL + b, len(_KT) - 1).astype(np.int64)]
+    out[large] = _long_kt(a[large], b[large])
+    return out
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+
+
+def _sums(code: np.ndarray, n: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By depth from DEPTH to TOP + 1: the pairs of context and symbol, ascending, and their counts."""
+    order = np.argsort(code)
+    key, n = code[order], n[order]
+    out = {DEPTH: (key, n)}
+    for d in range(DEPTH - 1, TOP, -1):
+        key = ((key >> 16) << 8) | (key & 255)  # without the farthest byte
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        at = _starts(key)
+        key, n = key[at], np.add.reduceat(n, at)
+        out[d] = (key, n)
+    return out
+
+
+Nodes = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _up(sums: dict[int, tuple[np.ndarray, np.ndarray]], j: int) -> dict[int, Nodes]:
+    """The decisions about bit j by depth: node (context << j | bits before), zeros, ones, own and weighted log probability."""
+    out: dict[int, Nodes] = {}
+    for d in range(DEPTH, TOP, -1):
+        key, n = sums[d]
+        node = key >> (8 - j)
+        at = _starts(node)
+        node, total = node[at], np.add.reduceat(n, at).astype(float)
+        ones = np.add.reduceat(np.where((key >> (7 - j)) & 1, n, 0), at).astype(float)
+        own = weighted = _kt(total - ones, ones)
+        if d < DEPTH:
+            below = out[d + 1]
+            weighted = np.logaddexp(own, np.bincount(np.searchsorted(node, _parents(below[0], j)), below[4], len(node))) - _LOG2
+        out[d] = (node, total - ones, ones, own, weighted)
+    return out
+
+
+def _parents(node: np.ndarray, j: int) -> np.ndarray:
+    return ((node >> (j + 8)) << j) | (node & ((1 << j) - 1))
+
+
+def _named(node: np.ndarray, j: int) -> np.ndarray:
+    """Nodes of all bits in one: context << 8 | 1 << j | bits before."""
+    return ((node >> j) << 8) | (1 << j) | (node & ((1 << j) - 1))
+
+
+def upper_sums(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For the nodes of depth TOP: name, zeros, ones, and the sum of their children's weighted log probabilities, of a block of pairs."""
+    sums, parts = _sums(code, n), []
+    for j in range(8):
+        node, a, b, _, weighted = _up(sums, j)[TOP + 1]
+        own, back = np.unique(_named(_parents(node, j), j), return_inverse=True)
+        parts.append((own, *(np.bincount(back, x, len(own)) for x in (a, b, weighted))))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _down(state: tuple[np.ndarray, ...], at: np.ndarray, a: np.ndarray, b: np.ndarray, own: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """said, left, estimate and share of nodes from those of their parents: what shallower nodes have said, the weight
+    left, the estimate of the deepest node seen, and its share of the weight left."""
+    said, left, last, share = (x[at] for x in state)
+    seen = a + b > 0
+    return (
+        np.where(seen, said + left * share * last, said), np.where(seen, left * (1 - share), left),
+        np.where(seen, (b + 0.5) / (a + b + 1), last), np.where(seen, np.exp(own - _LOG2 - weighted), 0.0),
+    )
+
+
+class Upper:
+    """What depths 0 to TOP say to the nodes of depth TOP."""
+
+    def __init__(self, name: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray):
+        levels = []
+        for _ in range(TOP + 1):
+            order = np.argsort(name)
+            name, a, b, below = name[order], a[order], b[order], below[order]
+            own = _kt(a, b)
+            weighted = np.logaddexp(own, below) - _LOG2
+            levels.append((name, a, b, own, weighted))
+            up, back = np.unique(((name >> 16) << 8) | (name & 255), return_inverse=True)
+            name, a, b, below = up, *(np.bincount(back, x, len(up)) for x in (a, b, weighted))
+        name, a, b, own, weighted = levels.pop()
+        state = (np.zeros(len(name)), np.ones(len(name)), (b + 0.5) / (a + b + 1), np.exp(own - _LOG2 - weighted))
+        while levels:
+            above, (name, a, b, own, weighted) = name, levels.pop()
+            state = _down(state, np.searchsorted(above, ((name >> 16) << 8) | (name & 255)), a, b, own, weighted)
+        self.name, self.state = name, state
+
+
+def log10s(upper: Upper, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a block, ascending, and their log10 probabilities."""
+    sums = _sums(code, n)
+    key = sums[DEPTH][0]
+    out = np.zeros(len(key))
+    for j in range(8):
+        nodes = _up(sums, j)
+        state, above = upper.state, None
+        for d in range(TOP + 1, DEPTH + 1):
+            up = _parents(nodes[d][0], j)
+            at = np.searchsorted(upper.name, _named(up, j)) if above is None else np.searchsorted(above, up)
+            state, above = _down(state, at, *nodes[d][1:]), nodes[d][0]
+        one = (state[0] + state[1] * state[2])[np.searchsorted(above, key >> (8 - j))]
+        out += np.log10(np.where((key >> (7 - j)) & 1, one, 1 - one))
+    return key, out
+
+
+class Table:
+    """Values by key, found by open addressing; the slots are filled where it is first asked."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values, self.slots = keys, values, None
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether there, the value or 0) of each key."""
+        if self.slots is None:
+            self.bits = max(4, int(4 * len(self.keys) - 1).bit_length())
+            self.slots = np.full(1 << self.bits, -1, np.int32)
+            left, at = np.arange(len(self.keys), dtype=np.int32), self._home(self.keys)
+            while len(left):
+                free = self.slots[at] < 0
+                self.slots[at[free]] = left[free]  # of several for one slot the last stays
+                again = self.slots[at] != left
+                left, at = left[again], (at[again] + 1) & ((1 << self.bits) - 1)
+        out, there = np.zeros(len(keys), self.values.dtype), np.zeros(len(keys), bool)
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            slot = self.slots[at]
+            some = np.flatnonzero(slot >= 0)
+            left, at, slot = left[some], at[some], slot[some]
+            hit = self.keys[slot] == keys[left]
+            there[left[hit]], out[left[hit]] = True, self.values[slot[hit]]
+            left, at = left[~hit], (at[~hit] + 1) & ((1 << self.bits) - 1)
+        return there, out
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(C.U) * C.U(C.BASE)) >> C.U(64 - self.bits)).astype(np.int64)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, n, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, n, m = keys[order], n[order], m[order]
+    at = _starts(keys) if len(keys) else np.empty(0, np.int64)
+    return (keys[at], np.add.reduceat(n, at), np.add.reduceat(m, at)) if len(keys) else (keys, n, m)
+
+
+def _tally(keys: np.ndarray, trains: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct keys with how many of them train and how many there are."""
+    out = []
+    for part, yes in ((keys[trains], 1), (keys[~trains], 0)):
+        if len(part):
+            own, m = np.unique(part, return_counts=True)
+            out.append((own, m * yes, m))
+    return out
+
+
+def count(docs: DataFrame, trains: Column, text: str) -> DataFrame:
+    """kind (0: words, 1: pairs of context and symbol), key, n (in training texts), m (in all) over all rows of `docs`, summed within tasks first."""
     C.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        held: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[], []]
         size = [0, 0]
-        n_rows = 0
+        rows = np.zeros(2, np.int64)
 
         def emit(kind: int) -> Iterator[pa.RecordBatch]:
-            keys, n = _summed(held[kind])
+            keys, n, m = _summed(held[kind])
             held[kind], size[kind] = [], 0
             for lo in range(0, len(keys), 1 << 16):
                 part = slice(lo, lo + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, np.int32)), pa.array(keys[part].view(np.int64)), pa.array(n[part])], names=["kind", "key", "n"])
-
-        for batch, data, bounds in C.chunks(batches, text):
-            n_rows += batch.num_rows
-            starts, ends, _ = C.word_spans(data, bounds, ~C.SPACE[data])
-            for kind, keys in enumerate((C.span_hashes(C.LOWER[data], starts, ends), codes(data, bounds)[0])):
-                if len(keys):
-                    held[kind].append(np.unique(keys, return_counts=True))
-                    size[kind] += len(held[kind][-1][0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, np.int32)), pa.array(keys[part].view(np.int64)), pa.array(n[part]), pa.array(m[part])], names=["kind", "key", "n", "m"])
+
+        for batch, data, bounds in C.chunks(batches, "_text"):
+            learns = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            rows += (learns.sum(), len(learns))
+            starts, ends, first = C.word_spans(data, bounds, ~C.SPACE[data])
+            code, at = codes(data, bounds)
+            for kind, (keys, border) in enumerate(((C.span_hashes(C.LOWER[data], starts, ends), first), (code, at))):
+                held[kind] += (found := _tally(keys, np.repeat(learns, np.diff(border))))
+                size[kind] += sum(len(x[0]) for x in found)
                 if size[kind] > HELD:
                     held[kind] = [_summed(held[kind])]
                     size[kind] = len(held[kind][0][0])
                     if size[kind] > HELD // 2:
                         yield from emit(kind)
-        if n_rows:
-            held[0].append((np.array([END_WORD], C.U), np.array([n_rows])))
+        if rows[1]:
+            held[0].append((np.array([END_WORD], C.U), rows[:1], rows[1:]))
         for kind in (0, 1):
             if held[kind]:
                 yield from emit(kind)
 
-    found = docs.select(F.col(text)).mapInArrow(run, "kind int, key long, n long")
-    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def _tree(grams: DataFrame) -> Tree:
-    """Nodes and their counts, from counts of (context of depth DEPTH, symbol): SHARE * 256 numbers a depth at most."""
-    positions = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    by_depth = []
-    for d in range(DENSE, DEPTH + 1):
-        cut = grams.select((F.col("key") % F.lit(1 << (8 + 5 * d))).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
-        if d > DENSE:
-            node = F.shiftright("key", 8)
-            often = cut.groupBy(node.alias("node")).agg(F.sum("n").alias("m")).where(F.col("m") * SHARE >= positions).select("node")
-            cut = cut.join(F.broadcast(often), node == F.col("node"), "left_semi")  # SHARE rows at most
-        rows = cut.toPandas()
-        by_depth.append((rows.key.to_numpy(np.int64), rows.n.to_numpy(np.int64)))
-    return Tree(by_depth)
+    found = docs.select(F.coalesce(trains, F.lit(False)).alias("_trains"), F.col(text).alias("_text")).mapInArrow(run, "kind int, key long, n long, m long")
+    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of pairs (key, n, m) from rows sorted by the three nearest bytes, which stay together."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        held.append([batch.column(i).to_numpy() for i in range(3)])
+        size += batch.num_rows
+        if size >= BLOCK:
+            key, n, m = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(key >> 32, key[-1] >> 32))
+            held, size = [[key, n, m]], len(key)
+            if cut:
+                yield key[:cut], n[:cut], m[:cut]
+                held, size = [[key[cut:], n[cut:], m[cut:]]], len(key) - cut
+    if size:
+        key, n, m = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield key, n, m
+
+
+def pair_values(pairs: DataFrame) -> DataFrame:
+    """key, m, value (log10 of the byte's probability in its context) of `pairs` (key, n, m)."""
+    spark = pairs.sparkSession
+    near = F.shiftright("key", 32)
+    dealt = pairs.select("key", "n", "m").repartition(near).sortWithinPartitions(near)
+
+    def lift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, _ in _blocks(batches):
+            name, a, b, below = upper_sums(key, n)
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(a), pa.array(b), pa.array(below)], names=["name", "a", "b", "below"])
+
+    sums = dealt.mapInArrow(lift, "name long, a double, b double, below double").groupBy("name").agg(*(F.sum(c).alias(c) for c in ("a", "b", "below")))
+    rows = sums.toPandas()  # 255 for each of 65536 contexts at the very most
+    if not len(rows):
+        return pairs.select("key", "m", F.lit(0.0).cast("float").alias("value"))
+    shared = spark.sparkContext.broadcast(Upper(*(rows[c].to_numpy() for c in ("name", "a", "b", "below"))))
+
+    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, m in _blocks(batches):
+            own, value = log10s(shared.value, key, n)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(m[np.argsort(key)]), pa.array(value.astype(np.float32))], names=["key", "m", "value"])
+
+    return dealt.mapInArrow(lower, "key long, m long, value float")
 
 
 def score(docs: DataFrame, trains: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of `docs`."""
     spark = docs.sparkSession
-    counts = C.save(count(docs.where(trains), text), "counts")
+    counts = C.save(count(docs, trains, text), "counts")
     words = counts.where("kind = 0")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = _tree(counts.where("kind = 1"))
-    least = max(1, -(-total // FREQUENT))
-    often = words.where(F.col("n") >= least).select("key", "n").toPandas()  # FREQUENT rows at most
-    hashes = often.key.to_numpy(np.int64).view(C.U)
-    order = np.argsort(hashes)
+    total, distinct, all_tokens, end_count = words.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("n"), F.count_if(F.col("n") > 0), F.sum("m"), F.sum(F.when(F.col("key") == END_WORD, F.col("n")))))).first()
     rate = math.log10(total + 0.1 * (distinct + 1))
-    shared = spark.sparkContext.broadcast((hashes[order], np.log10(often.n.to_numpy(float)[order] + 0.1), tree))
-    unknown = math.log10(0.1)
-    end_count = int(np.dot(often.n.to_numpy(), hashes == C.U(END_WORD))) if len(often) else 0
-    if not end_count:
-        end_count = words.where(F.col("key") == END_WORD).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>"
+    pairs = C.save(pair_values(counts.where("kind = 1")), "pairs")
+    steps = pairs.agg(*(F.count_if(F.col("m") >= 1 << k) for k in range(62))).first()
+    often = 1 << next(k for k, n in enumerate(steps) if n <= PAIRS)
+    least = max(1, -(-all_tokens // FREQUENT))
+
+    def table(rows: DataFrame, value: str) -> Table:
+        found = rows.select("key", value).toPandas()  # FREQUENT or PAIRS rows at most
+        return Table(found.key.to_numpy(np.int64), found[value].to_numpy())
+
+    shared = spark.sparkContext.broadcast((table(words.where(F.col("m") >= least), "n"), table(pairs.where(F.col("m") >= often), "value")))
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, rare_pairs array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
 
+    def lists(found: np.ndarray, keys: np.ndarray, border: np.ndarray) -> pa.Array:
+        rare = np.flatnonzero(~found)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, border).astype(np.int32)), pa.array(keys[rare].view(np.int64)))
+
+    def between(values: np.ndarray, border: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(values) + 1)
+        np.cumsum(values, out=sums[1:], dtype=np.float64)
+        return sums[border[1:]] - sums[border[:-1]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, logs, model = shared.value
+        by_word, by_pair = shared.value
         number = TaskContext.get().partitionId() << 36
         for batch, data, bounds in C.chunks(batches, "_text"):
             n = batch.num_rows
             code, first = codes(data, bounds)
-            sums = np.zeros(len(code) + 1)
-            np.cumsum(model.log10(code), out=sums[1:], dtype=np.float64)
+            pair_found, value = by_pair.find(code)
             starts, ends, word_at = C.word_spans(data, bounds, ~C.SPACE[data])
             own, back = np.unique(C.span_hashes(C.LOWER[data], starts, ends), return_inverse=True)
-            at = np.searchsorted(known, own)
-            found = at < len(known)
-            found[found] = known[at[found]] == own[found]
-            value = np.zeros(len(own))
-            value[found] = logs[at[found]]
-            base = np.zeros(len(back) + 1)
-            np.cumsum(value[back], out=base[1:])
-            is_known = found[back]
-            rare = np.flatnonzero(~is_known)
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, word_at).astype(np.int32)), pa.array(own[back[rare]].view(np.int64)))
-            n_words = np.diff(word_at)
+            found, times = by_word.find(own.view(np.int64))
+            logs = np.where(found, np.log10(times.astype(np.float64) + 0.1), 0.0)
             yield pa.RecordBatch.from_arrays([
-                pa.array(number + np.arange(n)), batch.column(0), batch.column(1), pa.array(n_words + 1),
-                pa.array(C.per_row(is_known, word_at) + (end_count > 0)), pa.array(base[word_at[1:]] - base[word_at[:-1]] + math.log10(end_count + 0.1)),
-                pa.array(sums[first[1:]] - sums[first[:-1]]), pa.array(np.diff(bounds)), lists,
+                pa.array(number + np.arange(n)), batch.column(0), batch.column(1), pa.array(np.diff(word_at) + 1),
+                pa.array(C.per_row((found & (times > 0))[back], word_at) + (end_count > 0)), pa.array(between(logs[back], word_at) + math.log10(end_count + 0.1)),
+                pa.array(between(value, first)), pa.array(np.diff(bounds)), lists(found[back], own[back], word_at), lists(pair_found, code, first),
             ], names=names)
             number += n
 
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), (~trains).alias("held_out"), F.col(text).alias("_text"))
     rows = C.save(plain.mapInArrow(run, schema), "scored")
-    rare = rows.select("row", F.explode("rare").alias("key")).join(words.where(F.col("n") < least).select("key", "n"), "key", "left")
-    rare = rare.groupBy(F.col("row").alias("of")).agg(F.sum(F.coalesce(F.log10(F.col("n") + 0.1), F.lit(unknown))).alias("more"), F.count("n").alias("more_known"))
-    done = rows.drop("rare").join(rare, F.col("row") == F.col("of"), "left")
+    values = words.where(F.col("m") < least).select(F.lit(0).alias("kind"), "key", F.log10(F.col("n") + 0.1).alias("value"), (F.col("n") > 0).cast("int").alias("known"))
+    values = values.union(pairs.where(F.col("m") < often).select(F.lit(1), "key", F.col("value").cast("double"), F.lit(0)))
+    rare = rows.select("row", F.lit(0).alias("kind"), F.explode("rare").alias("key")).union(rows.select("row", F.lit(1), F.explode("rare_pairs")))
+    part = lambda k: F.sum(F.when(F.col("kind") == k, F.col("value")).otherwise(0.0))
+    rare = rare.join(values, ["kind", "key"]).groupBy(F.col("row").alias("of")).agg(part(0).alias("more"), F.sum("known").alias("more_known"), part(1).alias("more_score"))
+    done = rows.drop("rare", "rare_pairs").join(rare, F.col("row") == F.col("of"), "left")
     n_known = F.col("n_known") + F.coalesce("more_known", F.lit(0))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(rate)
-    return done.select("doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
+    model = F.col("score") + F.coalesce("more_score", F.lit(0.0))
+    return done.select("doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), model.alias("score"), (-model * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

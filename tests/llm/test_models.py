@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import time
 import zlib
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from parity import SF
+from pyspark.sql import functions as F
 
 from lakesearch.llm import common as C
 from lakesearch.llm import ctw, html, langid
@@ -68,65 +70,83 @@ def _kt(a, b):
     return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
 
 
-def _log_weighted(counts, nodes, lo, mid, hi):
-    """log P_w of one decision's context tree from counts of (context, symbol), by plain recursion."""
+def _log_weighted(counts, lo, mid, hi):
+    """log P_w of one decision's context tree from counts of (context, symbol), by plain recursion over the contexts seen."""
 
-    def tally(prefix):
-        a = sum(n for (c, x), n in counts.items() if c[: len(prefix)] == prefix and lo <= x < mid)
-        return a, sum(n for (c, x), n in counts.items() if c[: len(prefix)] == prefix and mid <= x < hi)
-
-    def weigh(prefix):
-        a, b = tally(prefix)
+    def weigh(depth, pairs):
+        a = sum(n for (_, x), n in pairs.items() if lo <= x < mid)
+        b = sum(n for (_, x), n in pairs.items() if mid <= x < hi)
         own = _kt(a, b)
-        if len(prefix) == ctw.DEPTH:
+        if depth == ctw.DEPTH:
             return own
-        children = sorted({c[: len(prefix) + 1] for c, _ in counts if c[: len(prefix)] == prefix})
-        if len(prefix) >= ctw.DENSE:
-            kept = [c for c in children if c in nodes]
-            ra, rb = a - sum(tally(c)[0] for c in kept), b - sum(tally(c)[1] for c in kept)
-            below = sum(map(weigh, kept)) + _kt(ra, rb)
-        else:
-            below = sum(map(weigh, children))
-        return math.log(0.5) + np.logaddexp(own, below)
-
-    return weigh(())
-
-
-def test_tree_against_recursion():
-    """The table's probability of a symbol is the ratio of weighted probabilities with and without it."""
-    text = b"abracadabra, a barbarian abracadabra; brababra"
-    data, bounds = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-    code, _ = ctw.codes(data, bounds)
-    context = lambda c: tuple((int(c) >> (8 + 5 * d)) & 31 for d in range(ctw.DEPTH))
-    counts = Counter((context(c), int(c) & 255) for c in code)
-    by_depth, nodes = [], set()
-    for d in range(ctw.DENSE, ctw.DEPTH + 1):
-        cut = Counter(int(c) & ((1 << (8 + 5 * d)) - 1) for c in code)
-        if d > ctw.DENSE:
-            often = {k for k, n in Counter(k >> 8 for k in cut.elements()).items() if n >= 2}
-            cut = {k: n for k, n in cut.items() if k >> 8 in often}
-            nodes |= {tuple((k >> (5 * i)) & 31 for i in range(d)) for k in often}
-        keys = np.array(sorted(cut), np.int64)
-        by_depth.append((keys, np.array([cut[k] for k in keys.tolist()])))
-    tree = ctw.Tree(by_depth)
-    for c in code[::5].tolist():
-        want, lo, hi, x = 0.0, 0, 256, c & 255
+        below = 0.0
+        for c in {c[depth] for (c, _) in pairs}:
+            below += weigh(depth + 1, {k: n for k, n in pairs.items() if k[0][depth] == c})
+        return np.logaddexp(own, below) - math.log(2)
+
+    return weigh(0, counts)
+
+
+def _split(code):
+    """(context, nearest first; symbol) of a code."""
+    raw = int(code).to_bytes(8, "big")
+    return tuple(raw[1:7]), raw[7]
+
+
+def _values(code):
+    keys, n = np.unique(code, return_counts=True)
+    upper = ctw.Upper(*ctw.upper_sums(keys, n))
+    return dict(zip(*(x.tolist() for x in ctw.log10s(upper, keys, n)), strict=True))
+
+
+def test_pairs_against_recursion():
+    """The probability of a symbol is the ratio of weighted probabilities with and without it."""
+    text = "abracadabra, a barbarian abracadabra; brababra été".encode()
+    code, _ = ctw.codes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    counts, got = Counter(map(_split, code.tolist())), _values(code)
+    for c in code[::4].tolist():
+        want, lo, hi, (context, x) = 0.0, 0, 256, _split(c)
         more = counts.copy()
-        more[context(c), x] += 1
+        more[context, x] += 1
         while hi - lo > 1:
             mid = (lo + hi) // 2
-            want += _log_weighted(more, nodes, lo, mid, hi) - _log_weighted(counts, nodes, lo, mid, hi)
+            want += _log_weighted(more, lo, mid, hi) - _log_weighted(counts, lo, mid, hi)
             lo, hi = (lo, mid) if x < mid else (mid, hi)
-        assert math.isclose(float(tree.log10(np.array([c]))[0]), want / math.log(10), rel_tol=1e-4, abs_tol=1e-5)
-
-
-def test_probabilities_sum_to_one():
-    data, bounds = np.frombuffer("Été, l'été 2024!".encode(), np.uint8), np.array([0, 18])
-    code, _ = ctw.codes(data, bounds)
-    keys, n = np.unique(code & ((1 << 23) - 1), return_counts=True)
-    none = (np.empty(0, np.int64), np.empty(0, np.int64))
-    tree = ctw.Tree([(keys, n), *[none] * (ctw.DEPTH - ctw.DENSE)])
-    assert np.allclose((10.0 ** tree.table.astype(float)).sum(1), 1, atol=1e-4)
+        assert math.isclose(got[c], want / math.log(10), rel_tol=1e-7, abs_tol=1e-9)
+
+
+def test_blocks_and_unseen_pairs():
+    """Blocks of pairs weighted apart give what one block gives, and all symbols of a context, seen or not, sum to one."""
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["the", "then", "другой", "汉字", "a"]) for _ in range(400)).encode()
+    code, _ = ctw.codes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    keys, n = np.unique(code, return_counts=True)
+    asked = np.concatenate([(int(c) >> 8 << 8) + np.arange(256) for c in (code[50], code[200], 0x00FFFFFFFFFFFF00, int(code[99]) ^ (7 << 8))])
+    more = np.setdiff1d(asked, keys)
+    keys, n = np.concatenate([keys, more]), np.concatenate([n, np.zeros(len(more), np.int64)])
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    whole = dict(zip(*ctw.log10s(ctw.Upper(*ctw.upper_sums(keys, n)), keys, n), strict=True))
+    cuts = [0, *(np.flatnonzero(np.diff(keys >> 32)) + 1)[::5].tolist(), len(keys)]
+    parts = [ctw.upper_sums(keys[i:j], n[i:j]) for i, j in zip(cuts, cuts[1:])]
+    name, back = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+    upper = ctw.Upper(name, *(np.bincount(back, np.concatenate([x[k] for x in parts]), len(name)) for k in (1, 2, 3)))
+    for i, j in zip(cuts, cuts[1:]):
+        for key, value in zip(*ctw.log10s(upper, keys[i:j], n[i:j]), strict=True):
+            assert math.isclose(value, whole[key], rel_tol=1e-7, abs_tol=1e-9)
+    for i in range(0, len(asked), 256):
+        assert math.isclose(sum(10 ** whole[c] for c in asked[i : i + 256]), 1, rel_tol=1e-6)
+
+
+@pytest.mark.parametrize("words", ["это слова русского языка которые стоят друг за другом без всякого порядка и смысла", "αυτές είναι λέξεις της ελληνικής γλώσσας χωρίς καμία σειρά και νόημα", "的一是在不了有和人这中大为上个国我以要他", "these are words of a language that stand here in no order at all"])
+def test_held_out_texts_of_all_scripts(spark, words):
+    """No worse than the word model, and few bits a byte."""
+    rng = random.Random(8)
+    some = words.split() if " " in words else list(words)
+    rows = [(i, (" " if " " in words else "").join(rng.choices(some, k=30))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = ctw.score(df, F.col("doc_id") % 10 != 0).where("held_out").selectExpr("sum(score)", "sum(base_score)", "avg(bits_per_byte)").first()
+    assert held[0] > held[1] and held[2] < 1.6
 
 
 def test_scores(spark):
@@ -144,11 +164,13 @@ def test_scores(spark):
 
 
 def test_rare_words_meet_their_counts(spark, monkeypatch):
-    """With hardly any word broadcast the base score is the same."""
-    want = {r["doc_id"]: r["base_score"] for r in QUERIES["op5_lm_scoring"](spark, SF).collect()}
+    """With hardly any word or pair broadcast the scores are the same."""
+    want = {r["doc_id"]: (r["base_score"], r["score"]) for r in QUERIES["op5_lm_scoring"](spark, SF).collect()}
     monkeypatch.setattr(ctw, "FREQUENT", 50)
-    got = {r["doc_id"]: r["base_score"] for r in QUERIES["op5_lm_scoring"](spark, SF).collect()}
-    assert all(math.isclose(want[d], got[d], rel_tol=1e-9) for d in want)
+    monkeypatch.setattr(ctw, "PAIRS", 1000)
+    monkeypatch.setattr(ctw, "HELD", 1000)
+    got = {r["doc_id"]: (r["base_score"], r["score"]) for r in QUERIES["op5_lm_scoring"](spark, SF).collect()}
+    assert all(math.isclose(a, b, rel_tol=1e-7) for d in want for a, b in zip(want[d], got[d], strict=True))
 
 
 @pytest.fixture(scope="module")
