@@ -48,7 +48,7 @@ from . import common as C
 
 DEPTH = 6
 TOP = 2
-PAIRS = 1 << 21
+PAIRS = 1 << 20
 FREQUENT = 1 << 20
 HELD = 1 << 21
 BLOCK = 1 << 18
@@ -294,7 +294,8 @@ def count(docs: DataFrame, trains: Column, text: str) -> DataFrame:
                 yield from emit(kind)
 
     found = docs.select(F.coalesce(trains, F.lit(False)).alias("_trains"), F.col(text).alias("_text")).mapInArrow(run, "kind int, key long, n long, m long")
-    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    # summed by the tasks already: dealt out first, so that no second sum is tried before the shuffle
+    return found.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -328,10 +329,10 @@ def pair_values(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(a), pa.array(b), pa.array(below)], names=["name", "a", "b", "below"])
 
     sums = dealt.mapInArrow(lift, "name long, a double, b double, below double").groupBy("name").agg(*(F.sum(c).alias(c) for c in ("a", "b", "below")))
-    rows = sums.toPandas()  # 255 for each of 65536 contexts at the very most
+    rows = sums.toArrow()  # 255 for each of 65536 contexts at the very most
     if not len(rows):
         return pairs.select("key", "m", F.lit(0.0).cast("float").alias("value"))
-    shared = spark.sparkContext.broadcast(Upper(*(rows[c].to_numpy() for c in ("name", "a", "b", "below"))))
+    shared = spark.sparkContext.broadcast(Upper(*(rows.column(c).to_numpy() for c in ("name", "a", "b", "below"))))
 
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, n, m in _blocks(batches):
@@ -354,8 +355,8 @@ def score(docs: DataFrame, trains: Column, text: str = "text", key: str = "doc_i
     least = max(1, -(-all_tokens // FREQUENT))
 
     def table(rows: DataFrame, value: str) -> Table:
-        found = rows.select("key", value).toPandas()  # FREQUENT or PAIRS rows at most
-        return Table(found.key.to_numpy(np.int64), found[value].to_numpy())
+        found = rows.select("key", value).toArrow()  # FREQUENT or PAIRS rows at most
+        return Table(found.column("key").to_numpy(), found.column(value).to_numpy())
 
     shared = spark.sparkContext.broadcast((table(words.where(F.col("m") >= least), "n"), table(pairs.where(F.col("m") >= often), "value")))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, rare_pairs array<long>"
