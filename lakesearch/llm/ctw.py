@@ -16,8 +16,9 @@ For a fixed corpus the probability of a byte in a context is one number.
 1. One pass counts pairs of context and byte, summed within each task and then by key;
    pairs of texts that do not train are there with a count of zero.
 2. The pairs are dealt out by the three nearest bytes, so all nodes from depth `TOP` + 1
-   down that hang together are in one task, which streams them in blocks and weights
-   them from the leaves up.  Sums for the nodes of depth `TOP`, at most 65536 contexts,
+   down that hang together are in one bucket, and a task weights buckets in blocks
+   from the leaves up.  There are 8 buckets for each of `spark.sql.shuffle.partitions`;
+   a bucket fits in a task.  Sums for the nodes of depth `TOP`, at most 65536 contexts,
    go to the driver, which weights the rest and hands down what depths 0 to `TOP` say.
 3. The same tasks go from there to the leaves and give each pair its log probability:
    a table as long as there are different pairs.
@@ -48,9 +49,9 @@ from . import common as C
 
 DEPTH = 6
 TOP = 2
-PAIRS = 1 << 20
+PAIRS = 1 << 21
 FREQUENT = 1 << 20
-HELD = 1 << 21
+HELD = 1 << 22
 BLOCK = 1 << 18
 END = 255
 END_WORD = 0x5F5E_454E_445F_5F5F  # stands for the end among word hashes
@@ -240,46 +241,83 @@ class Table:
         return ((keys.astype(C.U) * C.U(C.BASE)) >> C.U(64 - self.bits)).astype(np.int64)
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _summed(parts: list[Counts]) -> Counts:
+    """Distinct keys, ascending, with the sums of their counts."""
     keys, n, m = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(keys, kind="stable")
     keys, n, m = keys[order], n[order], m[order]
-    at = _starts(keys) if len(keys) else np.empty(0, np.int64)
-    return (keys[at], np.add.reduceat(n, at), np.add.reduceat(m, at)) if len(keys) else (keys, n, m)
+    at = _starts(keys)
+    return keys[at], np.add.reduceat(n, at, dtype=np.int64), np.add.reduceat(m, at, dtype=np.int64)
 
 
-def _tally(keys: np.ndarray, trains: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _tally(keys: np.ndarray, trains: np.ndarray) -> list[Counts]:
     """Distinct keys with how many of them train and how many there are."""
     out = []
     for part, yes in ((keys[trains], 1), (keys[~trains], 0)):
         if len(part):
             own, m = np.unique(part, return_counts=True)
-            out.append((own, m * yes, m))
+            m = m.astype(np.int32)  # of a chunk
+            out.append((own, m * np.int32(yes), m))
     return out
 
 
+def packed(counts: Counts) -> bytes:
+    """Ascending keys and their counts in few bytes: differences, turned so that equal bytes stand together, compressed."""
+    keys, n, m = (x.astype(np.int64) for x in counts)
+    keys = np.diff(keys, prepend=np.int64(0))
+    planes = np.concatenate([x.view(np.uint8).reshape(-1, 8).T.ravel() for x in (keys, n, m)])
+    return pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
+
+
+def unpacked(blob: bytes, size: int) -> Counts:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob, 24 * size, asbytes=True), np.uint8).reshape(3, 8, size)
+    keys, n, m = (np.ascontiguousarray(x.T).view(np.int64).ravel() for x in planes)
+    return np.cumsum(keys), n, m
+
+
+_PACKED = "kind int, bucket int, size int, blob binary"
+
+
+def _packed_rows(kind: int, buckets: list[int], parts: list[Counts]) -> pa.RecordBatch:
+    size = pa.array([len(x[0]) for x in parts], pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(parts), pa.int32()), pa.array(buckets, pa.int32()), size, pa.array([packed(x) for x in parts], pa.binary())], names=["kind", "bucket", "size", "blob"])
+
+
 def count(docs: DataFrame, trains: Column, text: str) -> DataFrame:
-    """kind (0: words, 1: pairs of context and symbol), key, n (in training texts), m (in all) over all rows of `docs`, summed within tasks first."""
-    C.small_batches(docs.sparkSession)
+    """kind (0: words, 1: pairs of context and symbol), bucket, size and blob, its keys with n (in training texts) and m (in all), of all rows of `docs`.
+
+    Each task sums first and packs what it has by bucket; a bucket is then merged as a whole.  Pairs
+    with the three nearest bytes in common share a bucket.
+    """
+    spark = docs.sparkSession
+    C.small_batches(spark)
+    n_buckets = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[], []]
+        held: list[list[Counts]] = [[], []]
         size = [0, 0]
         rows = np.zeros(2, np.int64)
 
         def emit(kind: int) -> Iterator[pa.RecordBatch]:
             keys, n, m = _summed(held[kind])
             held[kind], size[kind] = [], 0
-            for lo in range(0, len(keys), 1 << 16):
-                part = slice(lo, lo + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, np.int32)), pa.array(keys[part].view(np.int64)), pa.array(n[part]), pa.array(m[part])], names=["kind", "key", "n", "m"])
+            bucket = (C.mix((keys >> 32 if kind else keys).astype(C.U)) % C.U(n_buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            keys, n, m, bucket = keys[order], n[order], m[order], bucket[order]
+            cut = [*_starts(bucket).tolist(), len(bucket)]
+            for lo in range(0, len(cut) - 1, 64):
+                ends = cut[lo : lo + 65]
+                yield _packed_rows(kind, bucket[ends[:-1]].tolist(), [(keys[a:b], n[a:b], m[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
         for batch, data, bounds in C.chunks(batches, "_text"):
             learns = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
             rows += (learns.sum(), len(learns))
             starts, ends, first = C.word_spans(data, bounds, ~C.SPACE[data])
             code, at = codes(data, bounds)
-            for kind, (keys, border) in enumerate(((C.span_hashes(C.LOWER[data], starts, ends), first), (code, at))):
+            for kind, (keys, border) in enumerate(((C.span_hashes(C.LOWER[data], starts, ends).view(np.int64), first), (code, at))):
                 held[kind] += (found := _tally(keys, np.repeat(learns, np.diff(border))))
                 size[kind] += sum(len(x[0]) for x in found)
                 if size[kind] > HELD:
@@ -288,40 +326,60 @@ def count(docs: DataFrame, trains: Column, text: str) -> DataFrame:
                     if size[kind] > HELD // 2:
                         yield from emit(kind)
         if rows[1]:
-            held[0].append((np.array([END_WORD], C.U), rows[:1], rows[1:]))
+            held[0].append((np.array([END_WORD], np.int64), rows[:1], rows[1:]))
         for kind in (0, 1):
             if held[kind]:
                 yield from emit(kind)
 
-    found = docs.select(F.coalesce(trains, F.lit(False)).alias("_trains"), F.col(text).alias("_text")).mapInArrow(run, "kind int, key long, n long, m long")
-    # summed by the tasks already: dealt out first, so that no second sum is tried before the shuffle
-    return found.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of pairs (key, n, m) from rows sorted by the three nearest bytes, which stay together."""
-    held: list[list[np.ndarray]] = []
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+        for batch in batches:
+            for kind, bucket, n, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if now is not None and now != (kind, bucket):
+                    yield _packed_rows(now[0], [now[1]], [_summed(held)])
+                    held, size = [], 0
+                now = (kind, bucket)
+                held.append(unpacked(blob, n))
+                size += n
+                if size > HELD:
+                    held = [_summed(held)]
+                    size = len(held[0][0]) // 2  # so that a bucket over the bound is summed as it doubles
+        if held:
+            yield _packed_rows(now[0], [now[1]], [_summed(held)])
+
+    found = docs.select(F.coalesce(trains, F.lit(False)).alias("_trains"), F.col(text).alias("_text")).mapInArrow(run, _PACKED)
+    return found.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(merge, _PACKED)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Counts]:
+    """Blocks of whole buckets of some `BLOCK` keys."""
+    held: list[Counts] = []
     size = 0
     for batch in batches:
-        held.append([batch.column(i).to_numpy() for i in range(3)])
-        size += batch.num_rows
-        if size >= BLOCK:
-            key, n, m = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.searchsorted(key >> 32, key[-1] >> 32))
-            held, size = [[key, n, m]], len(key)
-            if cut:
-                yield key[:cut], n[:cut], m[:cut]
-                held, size = [[key[cut:], n[cut:], m[cut:]]], len(key) - cut
-    if size:
-        key, n, m = (np.concatenate(x) for x in zip(*held, strict=True))
-        yield key, n, m
-
-
-def pair_values(pairs: DataFrame) -> DataFrame:
-    """key, m, value (log10 of the byte's probability in its context) of `pairs` (key, n, m)."""
-    spark = pairs.sparkSession
-    near = F.shiftright("key", 32)
-    dealt = pairs.select("key", "n", "m").repartition(near).sortWithinPartitions(near)
+        for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.append(unpacked(blob, n))
+            size += n
+            if size >= BLOCK:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def counted(buckets: DataFrame) -> DataFrame:
+    """key, n, m of packed buckets (size, blob)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in block], names=["key", "n", "m"])
+
+    return buckets.select("size", "blob").mapInArrow(run, "key long, n long, m long")
+
+
+def pair_values(buckets: DataFrame) -> DataFrame:
+    """key, m, value (log10 of the byte's probability in its context) of packed buckets of pairs (size, blob)."""
+    spark = buckets.sparkSession
+    dealt = buckets.select("size", "blob")
 
     def lift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, n, _ in _blocks(batches):
@@ -331,7 +389,7 @@ def pair_values(pairs: DataFrame) -> DataFrame:
     sums = dealt.mapInArrow(lift, "name long, a double, b double, below double").groupBy("name").agg(*(F.sum(c).alias(c) for c in ("a", "b", "below")))
     rows = sums.toArrow()  # 255 for each of 65536 contexts at the very most
     if not len(rows):
-        return pairs.select("key", "m", F.lit(0.0).cast("float").alias("value"))
+        return counted(buckets).select("key", "m", F.lit(0.0).cast("float").alias("value"))
     shared = spark.sparkContext.broadcast(Upper(*(rows.column(c).to_numpy() for c in ("name", "a", "b", "below"))))
 
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +404,7 @@ def score(docs: DataFrame, trains: Column, text: str = "text", key: str = "doc_i
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of `docs`."""
     spark = docs.sparkSession
     counts = C.save(count(docs, trains, text), "counts")
-    words = counts.where("kind = 0")
+    words = C.save(counted(counts.where("kind = 0")), "words")
     total, distinct, all_tokens, end_count = words.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("n"), F.count_if(F.col("n") > 0), F.sum("m"), F.sum(F.when(F.col("key") == END_WORD, F.col("n")))))).first()
     rate = math.log10(total + 0.1 * (distinct + 1))
     pairs = C.save(pair_values(counts.where("kind = 1")), "pairs")
