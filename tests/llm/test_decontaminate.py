@@ -89,3 +89,27 @@ def test_documents_against_brute_force(spark):
     long = {r["doc_id"] for r in docs.collect() if len(fold(r["text"])) >= 3000}
     got = {(r["doc_id"], r["item_id"]): r["n_covered"] for r in D.leaks(docs, bench).collect() if r["doc_id"] not in long}
     assert got == want and want
+
+
+def test_words_of_all_scripts():
+    import pyarrow as pa
+    import regex
+
+    from lakesearch.llm import common as C
+
+    texts = ["Hello, WORLD été ÉTÉ x_y", "汉字テストabc汉 déf", "", "ПРИВЕТ мир 123", "ไทย a", "日", "本x", "é z"]
+    words = lambda t: D.folded_words(*C.text_bytes(pa.array(t)))
+    alone = "".join(rf"\p{{Script={x}}}" for x in D.UNSPACED)
+    pattern = regex.compile(rf"(?V1)[[{alone}]&&[\p{{L}}\p{{M}}\p{{N}}]]|[[\p{{L}}\p{{M}}\p{{N}}]--[{alone}]]+")
+    got, first = words(texts)
+    for i, t in enumerate(texts):
+        assert got[first[i] : first[i + 1]].tolist() == [words([w.lower()])[0].tolist()[0] for w in pattern.findall(t)]
+
+
+def test_copies_in_other_scripts_and_short_items(spark):
+    chinese, russian, japanese = "人工智能正在改变世界，它会带来许多新的机会。", "Москва является столицей России и крупнейшим городом страны", "東京は日本の首都であり、世界でも大きな都市の一つです。"
+    docs = [(1, f"前言。{chinese}结束"), (2, f"Слово. {russian.upper()}!"), (3, f"はじめに{japanese}おわり"), (4, "nothing of the kind stands here at all"), (5, "so: Forty-two, IS the answer"), (6, "forty is two"), (7, None)]
+    bench = [(1, chinese), (2, russian), (3, japanese), (4, "forty two is"), (5, "!!"), (6, None)]
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in D.leaks(df, items).collect()} == {(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (5, 4, 1.0)}
+    assert {r["doc_id"] for r in D.remove_leaks(df, items).collect()} == {4, 5, 6, 7}
