@@ -26,11 +26,13 @@ U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is set, as in tests."""
+    """The folder all executors share; a local one only in a session without executors elsewhere, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         found = tempfile.mkdtemp(prefix="lakesearch_")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
