@@ -78,14 +78,37 @@ def spaced(requests: DataFrame, gap: int) -> DataFrame:
     return rows.withColumn("starts", (latest + gap * F.col("_k")).cast("long")).drop("_k")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame:
-    """node: the roots and all below them over edges (parent, node), level by level; cycles end."""
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node: the roots and all below them over edges (parent, node); cycles end.
+
+    Where every node has one parent at most, as processes have, nodes look to ancestors
+    twice as far away each round, so a chain of n takes log n rounds.  Otherwise the
+    search goes level by level for as long as there is something new.
+    """
     found = roots.select("node").distinct()
+    several = edges.distinct().groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    if several.isEmpty():
+        return found.union(_below_by_doubling(edges, found)).distinct()
     front = found
-    for _ in range(rounds):
-        below = edges.join(front.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node").distinct().join(found, "node", "left_anti")
-        below = below.checkpoint() if below.sparkSession.sparkContext.getCheckpointDir() else below.persist()
+    while True:
+        below = _kept(edges.join(front.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node").distinct().join(found, "node", "left_anti"))
         if below.isEmpty():
+            return found
+        found, front = _kept(found.union(below)), below
+
+
+def _below_by_doubling(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The nodes of a forest that have a root among their ancestors."""
+    mark = roots.select(F.col("node").alias("_root"))
+    state = edges.distinct().join(mark, F.col("parent") == F.col("_root"), "left").select("node", F.col("parent").alias("up"), F.col("_root").isNotNull().alias("below"))
+    state, steps = _kept(state), max(1, edges.count()).bit_length()
+    for _ in range(steps):  # 2**steps is more than the length of any path
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("below").alias("also"))
+        state = _kept(state.join(above, "up", "left").select("node", F.col("further").alias("up"), (F.col("below") | F.coalesce("also", F.lit(False))).alias("below")))
+        if state.where("up is not null and not below").isEmpty():
             break
-        found, front = found.union(below), below
-    return found
+    return state.where("below").select("node")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()

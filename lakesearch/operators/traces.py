@@ -1,17 +1,12 @@
-"""Execution traces: trees of timed spans, waterfalls, retention, and redaction of what they record."""
+"""Execution traces: trees of timed spans, waterfalls and retention."""
 
 from __future__ import annotations
 
-import json
-import math
-import re
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 DAY_MS = 86_400_000
 KEEP = 100
@@ -84,93 +79,3 @@ def interrupted(traces: DataFrame, owners: DataFrame) -> DataFrame:
     alive = owners.select(F.col("owner").alias("_alive")).distinct()
     both = traces.join(alive, traces["owner"] == F.col("_alive"), "left")
     return both.withColumn("status", F.when((F.col("status") == "running") & F.col("_alive").isNull(), "interrupted").otherwise(F.col("status"))).drop("_alive")
-
-
-# Redaction.  Fixed values: which keys hold secrets, content, or strings that may be kept.
-_SECRET = re.compile(r"authorization|cookie|password|passwd|secret|credential|api.?key|token|headers?|cursor", re.IGNORECASE)
-_CONTENT = re.compile(r"query|text|body|content|html|markdown|snippet|excerpt|quote|title|message|description", re.IGNORECASE)
-_KEPT = frozenset(
-    "status code error_code name tool engine engines provider method format mode evidence_mode ranking strategy reason language stage phase source type view request_id snapshot_id source_id content_sha256 contentSha256 checksum sha256 content_type extractor_version extractorVersion last_error expires_at fetched_at retrieved_at sites include_domains exclude_domains hostname domain version".split()
-)
-_LEAK = re.compile(r"Bearer\s|sk-[A-Za-z0-9]|password=|api_key=", re.IGNORECASE)
-PREVIEW, NODES, DEPTH, ITEMS, KEYS = 2000, 300, 6, 30, 24
-
-
-class _Redactor:
-    def __init__(self, capture: bool):
-        self.capture, self.budget, self.nodes = capture, PREVIEW, 0
-
-    def url(self, value: str) -> str:
-        try:
-            u = urlsplit(value)
-            if u.scheme.lower() not in ("http", "https"):
-                return "[redacted URL]" if u.scheme else "[invalid URL]"
-            if not u.hostname:
-                return "[invalid URL]"
-            shown = f"{u.scheme.lower()}://{u.hostname}" + (f":{u.port}" if u.port else "") + ((u.path or "/") if self.capture else "")
-        except ValueError:
-            return "[invalid URL]"
-        self.budget -= len(shown)
-        return shown[:PREVIEW]
-
-    def string(self, value: str, key: str) -> object:
-        if re.search("url|uri|origin", key, re.IGNORECASE) or re.match("https?://", value, re.IGNORECASE):
-            return self.url(value)
-        if (not self.capture and key not in _KEPT) or _LEAK.search(value):
-            return {"redacted": True, "chars": len(value)}
-        shown = value[: max(0, min(self.budget, PREVIEW))]
-        self.budget -= len(shown)
-        return shown + "…" if len(shown) < len(value) else shown
-
-    def visit(self, value: object, key: str, depth: int) -> object:
-        if _SECRET.search(key):
-            return "[redacted]"
-        if not self.capture and isinstance(value, dict | list) and key not in _KEPT and _CONTENT.search(key):
-            return {"redacted": True}
-        self.nodes += 1
-        self.budget -= 4
-        if self.nodes > NODES or self.budget <= 0 or depth > DEPTH:
-            return "[truncated]"
-        if isinstance(value, float) and not math.isfinite(value):
-            return "[non-finite]"
-        if isinstance(value, str):
-            return self.string(value, key)
-        if isinstance(value, list):
-            return [self.visit(x, key, depth + 1) for x in value[:ITEMS]]
-        if isinstance(value, dict):
-            out: dict[str, object] = {}
-            for name, inner in list(value.items())[:KEYS]:
-                self.budget -= len(name) + 4
-                if self.budget <= 0:
-                    out["truncated"] = True
-                    break
-                out[name[:80]] = self.visit(inner, name, depth + 1)
-            return out
-        return value
-
-
-def redact(value: object, capture: bool = False) -> str:
-    """A JSON value without secrets and content, cut to a preview, as JSON."""
-    text = json.dumps(_Redactor(capture).visit(value, "", 0), ensure_ascii=False, separators=(",", ":"))
-    if len(text) <= PREVIEW:
-        return text
-    preview = text[:1800]
-    while len(out := json.dumps({"truncated": True, "preview": preview}, ensure_ascii=False, separators=(",", ":"))) > PREVIEW:
-        preview = preview[: int(len(preview) * 0.8)]
-    return out
-
-
-@F.pandas_udf(StringType())
-def redacted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """JSON text redacted; what is no JSON is not recorded."""
-
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        try:
-            return redact(json.loads(text))
-        except ValueError:
-            return "[unrecordable]"
-
-    for part in parts:
-        yield part.map(one)

@@ -10,6 +10,7 @@ from ..functions import urls as U
 from ..operators import cache as CA
 from ..operators import contracts as CT
 from ..operators import health as H
+from ..operators import redaction as RD
 from ..operators import traces as TR
 from ..registry import query
 from ..sources import evals as EV
@@ -134,7 +135,7 @@ def interrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("F24_redaction")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.to_json(F.struct(F.col("event_type").alias("name"), F.lit("Bearer abc").alias("note"), F.lit("k").alias("api_key"), F.lit("https://u:p@example.com/a?b=c").alias("url"), F.col("value"), F.struct(F.lit("x").alias("title")).alias("message"), F.col("props").alias("text")))
-    return table(spark, sf_dir, "events").select("event_id", TR.redacted(record).alias("record"))
+    return table(spark, sf_dir, "events").select("event_id", RD.redacted(record).alias("record"))
 
 
 @query("F17_expiry", "select event_id from events where ts + interval (event_id % 48) hour > timestamp '2024-01-20 00:00:00'")

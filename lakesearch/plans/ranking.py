@@ -34,7 +34,7 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranked(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
     """query, id, score, rank of the k best documents of every benchmark item."""
-    return R.top(R.bm25(_queries(spark, sf_dir), _corpus(spark, sf_dir)), k)
+    return R.top(R.bm25(_queries(spark, sf_dir), _corpus(spark, sf_dir), k), k)
 
 
 @query("A04_bm25", f"with {_bm25_cte()} select query, id, round(score, 5) as score, rank::bigint as rank from ranked where rank <= {TOP}")

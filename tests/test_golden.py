@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from lakesearch.operators import evidence as EV
 from lakesearch.operators import health as H
 from lakesearch.operators import passages as P
 from lakesearch.operators import ranking as R
+from lakesearch.operators import redaction as RD
 from lakesearch.operators import segments as S
 from lakesearch.operators import traces as TR
 from lakesearch.operators.cache import Replay
@@ -149,6 +152,26 @@ def test_han_passages():
     assert got and "搜索引擎" in got[0]["quote"] and got[0]["coverage"] == 1.0
 
 
+def test_choice_against_sorting_anew():
+    """The heap chooses what sorting all that is left before each pick chooses."""
+    rng = random.Random(7)
+    for _ in range(200):
+        terms = list("abcdef")
+        candidates = []
+        for _ in range(rng.randint(0, 12)):
+            a = rng.randint(0, 60)
+            candidates.append(P.Passage(a, a + rng.randint(1, 12), sorted(rng.sample(terms, rng.randint(0, 4)))))
+        frequency = Counter({t: rng.randint(1, 5) for t in terms})
+        want, known, left = [], set(), list(candidates)
+        while left and len(want) < 4:
+            best = min(left, key=lambda p: (-sum((2 - (t in known)) / frequency[t] for t in p.terms), -len(p.terms), p.start))
+            left.remove(best)
+            if all(best.end <= p.start or p.end <= best.start for p in want):
+                want.append(best)
+                known |= set(best.terms)
+        assert [(p.start, len(p.terms)) for p in P.choose(candidates, frequency, 4)] == [(p.start, len(p.terms)) for p in want]
+
+
 def test_rare_terms_first():
     parts = ["alpha one two three four five six.\n\n", "alpha seven eight nine ten words.\n\n", "beta once only stands in this one.\n\n"]
     text, spans, at = "".join(parts), [], 0
@@ -198,11 +221,20 @@ def test_span_depths(spark):
     assert got[1, "c"] == 2 and got[1, "lost"] == 0 and got[1, "m"] == 1 and got[1, "x"] == 0 and got[1, "y"] == 1 and got[2, "11"] == 6 and got[2, "3"] == 3
 
 
+def test_redaction_bounds():
+    wide = RD.redact({f"status{i}": i for i in range(40)}, True)
+    assert "status23" in wide and "status24" not in wide
+    assert RD.redact([1.5, float("inf"), None, True], True) == '[1.5,"[non-finite]",null,true]'
+    assert RD.redact({"site_url": "ftp://a/b", "link": "HTTPS://u@Host.org:8080/p?q", "uri": "no address"}, True) == '{"site_url":"[redacted URL]","link":"https://host.org:8080/p","uri":"[invalid URL]"}'
+    assert len(RD.redact(["\"\\" * 400] * 30, True)) <= 2000 and RD.redact("x" * 3000, True).endswith('…"')
+    assert RD.redact({"a": [{"note": "Bearer x"}]}, True) == '{"a":[{"note":{"redacted":true,"chars":8}}]}'
+
+
 def test_redaction():
-    got = TR.redact({"api_key": "x", "status": "ok", "note": "private", "url": "https://u:p@example.com/a?b#c", "message": {"a": 1}, "deep": {"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}}})
+    got = RD.redact({"api_key": "x", "status": "ok", "note": "private", "url": "https://u:p@example.com/a?b#c", "message": {"a": 1}, "deep": {"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}}})
     assert got.startswith('{"api_key":"[redacted]","status":"ok","note":{"redacted":true,"chars":7},"url":"https://example.com","message":{"redacted":true}')
     assert "[truncated]" in got
-    assert len(TR.redact({f"status{i}": ["x" * 80] * 30 for i in range(24)})) <= 2000
+    assert len(RD.redact({f"status{i}": ["x" * 80] * 30 for i in range(24)})) <= 2000
 
 
 PAGE = """<html lang=en><head><title>A &amp; B</title><meta property="og:site_name" content="Site"></head><body><nav><a href=/x>menu</a></nav><article><h1>Head</h1><p>First paragraph, with a <a href="/rel">link</a> and enough text to read.</p>
@@ -240,6 +272,10 @@ def test_single_flight_and_pacing(spark):
     assert {x["seq"]: x["starts"] for x in FL.spaced(r, 6).collect()} == {1: 0, 2: 6, 3: 12, 4: 18, 5: 24, 6: 1}
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "parent long, node long")
     assert sorted(x["node"] for x in FL.reachable(edges, spark.createDataFrame([(2,)], "node long")).collect()) == [1, 2, 3]
+    chain = spark.range(1, 200).selectExpr("id - 1 as parent", "id as node")
+    assert sorted(x["node"] for x in FL.reachable(chain, spark.createDataFrame([(90,), (500,)], "node long")).collect()) == [*range(90, 200), 500]
+    net = chain.union(spark.createDataFrame([(3, 9), (199, 0)], "parent long, node long")).where("node < 20 or parent = 199")
+    assert sorted(x["node"] for x in FL.reachable(net, spark.createDataFrame([(2,)], "node long")).collect()) == list(range(2, 20))
 
 
 def test_bodies():
