@@ -3,13 +3,14 @@
 An observation carries the sequence number of the selection it answers; one older
 than the newest applied is ignored, and one without diagnostics, failure or result
 changes nothing.  A failure rests the source, twice as long each time in a row; a
-success heals it; after its rest a source is half open, and one probe may go.
+success heals it; after its rest a source is half open.  A pool's gate then lets one request
+probe it and keeps the others from it until that request has ended.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -109,3 +110,66 @@ def rest_ms(observations: DataFrame) -> DataFrame:
     """`observations` with the rest each failure starts, from its place in its run of failures."""
     runs = consecutive_failures(observations, F.col("code").isNotNull())
     return runs.withColumn("rest_ms", F.when(F.col("code").isNotNull(), X.backoff_ms(F.col("consecutive"), F.col("code"), F.col("suspended"))))
+
+
+# Admission: which sources a request may ask, with one probe at a time for each that has rested.
+
+ADMITTED = "pool string, request long, asked array<string>, skipped array<string>, probes array<string>, error string, retry_ms long"
+
+
+@dataclass
+class Gate:
+    """The sources of one pool: their states, and which request probes each."""
+
+    states: dict[str, State] = field(default_factory=dict)
+    probing: dict[str, int] = field(default_factory=dict)
+
+    def admit(self, request: int, sources: list[str], now: int) -> dict:
+        """Sources that rest or are being probed are skipped; a rested one is asked as this request's probe; none at all is an error."""
+        waits = {s: max(0, self.states.setdefault(s, State()).cooldown_until - now) for s in sources}
+        asked = [s for s in sources if not waits[s] and s not in self.probing]
+        probes = [s for s in asked if self.states[s].cooldown_until]
+        self.probing |= dict.fromkeys(probes, request)
+        answer = {"request": request, "asked": asked, "skipped": [s for s in sources if s not in asked], "probes": probes, "error": None, "retry_ms": None}
+        if not asked:
+            blocked = any(self.states[s].last_error == "UPSTREAM_BLOCKED" for s in sources)
+            answer |= {"error": "UPSTREAM_BLOCKED" if blocked else "UPSTREAM_UNAVAILABLE", "retry_ms": min(waits.values(), default=0)}
+        return answer
+
+    def end(self, request: int) -> None:
+        """Whatever came of a request, the sources it probed may be probed again."""
+        self.probing = {s: r for s, r in self.probing.items() if r != request}
+
+
+def admissions(actions: DataFrame) -> DataFrame:
+    """What every request of a pool is answered, from the pool's actions in order of (at, kind, request).
+
+    actions: pool, at, kind (0 an answer of one source, 1 the end of a request, 2 a request), request,
+    sources (of a request: all of its pool), and source, code, suspended, succeeded, complete of an answer.
+    An answer of a source the request has not asked changes nothing.  A pool's actions pass through one
+    task in Arrow batches; held are its sources' states and, of the requests not ended, what they asked.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool, gate, open_ = None, Gate(), {}
+        for part in parts:
+            done = []
+            for row in part.itertuples(index=False):
+                if row.pool != pool:
+                    pool, gate, open_ = row.pool, Gate(), {}
+                request = int(row.request)
+                if row.kind == 2:
+                    answer = gate.admit(request, list(row.sources), int(row.at))
+                    open_[request] = set(answer["asked"])
+                    done.append({"pool": pool, **answer})
+                elif row.kind == 1:
+                    gate.end(request)
+                    open_.pop(request, None)
+                elif row.source in open_.get(request, ()):
+                    code = row.code if isinstance(row.code, str) else None
+                    gate.states[row.source].observe(request, int(row.at), code, None if pd.isna(row.suspended) else bool(row.suspended), bool(row.succeeded), bool(row.complete))
+            out = pd.DataFrame(done, columns=[x.split()[0] for x in ADMITTED.split(", ")])
+            yield out.astype({"request": "int64", "retry_ms": "Int64"})
+
+    columns = ["pool", "at", "kind", "request", "sources", "source", "code", "suspended", "succeeded", "complete"]
+    return actions.select(*columns).repartition("pool").sortWithinPartitions("pool", "at", "kind", "request").mapInPandas(run, ADMITTED)

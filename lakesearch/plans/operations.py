@@ -52,6 +52,21 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.fold(_observations(spark, sf_dir)).withColumnRenamed("at", "at_")
 
 
+@query("H01_admission")
+def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is a request of its user's pool for four sources; each is answered two hours on, and an error event is a failure of one of them."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    sources, later = F.array(*(F.concat(F.lit("s"), ((F.col("user_id") + k) % 7).cast("string")) for k in range(4))), F.col("at") + 7_200_000
+    none = F.lit(None).cast("string")
+    base = [F.concat(F.lit("p"), "user_id").alias("pool"), F.col("event_id").alias("request"), sources.alias("sources")]
+    asks = e.select(*base, "at", F.lit(2).alias("kind"), none.alias("source"), none.alias("code"), F.lit(False).alias("succeeded"))
+    ends = e.select(*base, later.alias("at"), F.lit(1).alias("kind"), none.alias("source"), none.alias("code"), F.lit(False).alias("succeeded"))
+    failed = (F.col("event_type") == "error") & (F.col("s.at") == F.col("event_id") % 4)
+    answers = e.select(*base, later.alias("at"), "event_type", "event_id", F.explode(F.transform(sources, lambda x, i: F.struct(x.alias("name"), i.alias("at")))).alias("s"))
+    answers = answers.select("pool", "request", "sources", "at", F.lit(0).alias("kind"), F.col("s.name").alias("source"), F.when(failed, F.when(F.col("event_id") % 3 == 0, "UPSTREAM_BLOCKED").otherwise("TIMEOUT")).alias("code"), (~failed).alias("succeeded"))
+    return H.admissions(asks.union(ends).union(answers).withColumns({"suspended": F.lit(False), "complete": F.lit(True)}))
+
+
 @query("H02_late_observations", f"select event_id from (select *, max(seq) over (partition by source order by at_ms, seq rows between unbounded preceding and 1 preceding) as newest from (select event_id, source, at_ms, case when event_id % 9 = 0 then greatest(sequence - 5, 1) else sequence end as seq from {_OBS} o) s) x where newest is null or seq >= newest")
 def late_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.when(F.col("event_id") % 9 == 0, F.greatest(F.col("sequence") - 5, F.lit(1))).otherwise(F.col("sequence"))

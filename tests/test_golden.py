@@ -188,6 +188,24 @@ def test_evidence_page_stops_at_first_overflow(spark):
     assert [r["priority"] for r in got] == [1]
 
 
+def test_one_probe_at_a_time(spark):
+    none = None
+    rows = [
+        ("p", 0, 2, 1, ["a", "b"], none, none, False), ("p", 10, 0, 1, none, "a", "TIMEOUT", False), ("p", 10, 0, 1, none, "b", "UPSTREAM_BLOCKED", False), ("p", 10, 1, 1, none, none, none, False),
+        ("p", 20, 2, 2, ["a", "b"], none, none, False),  # both rest
+        ("p", 30_010, 2, 3, ["a", "b"], none, none, False), ("p", 30_011, 2, 4, ["a", "b"], none, none, False),  # the first probes a
+        ("p", 30_020, 0, 4, none, "a", none, True),  # an answer nobody asked for
+        ("p", 30_030, 0, 3, none, "a", none, True), ("p", 30_030, 1, 3, none, none, none, False), ("p", 30_040, 2, 5, ["a", "b"], none, none, False), ("q", 5, 2, 6, ["a"], none, none, False),
+        ("p", 300_010, 2, 7, ["a", "b"], none, none, False), ("p", 300_020, 1, 7, none, none, none, False), ("p", 300_030, 2, 8, ["b"], none, none, False),  # a probe that ended without an answer
+    ]
+    df = spark.createDataFrame([(*r, False, True) for r in rows], "pool string, at long, kind int, request long, sources array<string>, source string, code string, succeeded boolean, suspended boolean, complete boolean")
+    got = {r["request"]: (r["asked"], r["skipped"], r["probes"], r["error"], r["retry_ms"]) for r in H.admissions(df).collect()}
+    assert got == {
+        1: (["a", "b"], [], [], none, none), 2: ([], ["a", "b"], [], "UPSTREAM_BLOCKED", 29_990), 3: (["a"], ["b"], ["a"], none, none), 4: ([], ["a", "b"], [], "UPSTREAM_BLOCKED", 0),
+        5: (["a"], ["b"], [], none, none), 6: (["a"], [], [], none, none), 7: (["a", "b"], [], ["b"], none, none), 8: (["b"], [], ["b"], none, none),
+    }
+
+
 def test_breaker():
     s = H.State()
     s.observe(1, 0, "TIMEOUT", None, False, True)
