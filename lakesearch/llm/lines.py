@@ -4,8 +4,9 @@ A line is what stands between line feeds; lines are compared as their words, run
 anything but blanks, tabs and carriage returns, in lower case.  Lines without a word
 are kept and not counted.  Two lines are
 near if one word put in, left out or exchanged turns one into the other (an edit
-distance of at most one word) and both have `MIN_WORDS` words or more; shorter lines
-only meet exact copies.  A line goes if an earlier one, by place, is equal or near,
+distance of at most one word) and both have `MIN_WORDS` words or more, so three
+quarters of a line stay as they are; shorter lines only meet exact copies, as one edit
+there leaves half a line or nothing (`least` is an option of every function).  A line goes if an earlier one, by place, is equal or near,
 whether that one stays or not.  A place is (doc_id, hash of the text, row, line), so
 every row of the table is a document of its own: rows that repeat a doc_id stand one
 after the other, and a line of one never takes a line of another with it.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MIN_WORDS = 6
+MIN_WORDS = 4
 SIEVE = 1 << 20
 HOT = 1 << 14
 SPACE = r"[ \t\r]+"

@@ -36,7 +36,7 @@ def distance_at_most_one(a, b):
 
 def test_near_lines(spark):
     rng = random.Random(5)
-    base = [[f"w{rng.randint(0, 3)}" for _ in range(rng.randint(5, 8))] for _ in range(25)]
+    base = [[f"w{rng.randint(0, 3)}" for _ in range(rng.randint(3, 8))] for _ in range(25)]
     out = []
     for words in base:
         for _ in range(6):
@@ -51,7 +51,7 @@ def test_near_lines(spark):
     want = {}
     for at, words in places:
         first = min(p for p, w in places if w == words)
-        near = any(p < first and len(w) >= 6 and len(words) >= 6 and distance_at_most_one(words, w) for p, w in places)
+        near = any(p < first and len(w) >= lines.MIN_WORDS and len(words) >= lines.MIN_WORDS and distance_at_most_one(words, w) for p, w in places)
         if at > first or near:
             want[at] = "exact" if at > first else "near"
     got = {(r["doc_id"], r["line"]): r["why"] for r in lines.dropped(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
