@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 CUTS = 32
-ROUNDS = 5
+ROUNDS = 8
 PER_SLICE = 500
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import collections
 import math
+import random
 import re
 
 import pytest
 from parity import SF
+from pyspark.sql import functions as F
 
 from lakesearch.llm import mixing as M
 from lakesearch.llm import sharding as S
@@ -122,3 +124,61 @@ def test_query_columns(spark):
     for r in QUERIES["op6_sharding"](spark, SF).collect():
         raw = text[r["doc_id"]].encode()
         assert r["size"] == len(raw) + 1 and r["text_crc32"] == zlib.crc32(raw) and r["law"] == "rows" and r["grown_shard"] is None
+
+
+def brute_copies(rows, target, most):
+    """Slow version of the mixture: (place, copies, weight) of rows (doc_id, source, text), orders of blocks as Spark hashes them."""
+    words = [len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows]
+    by_source = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        by_source[r["source"]].append(i)
+    total = {s: sum(words[i] for i in at) for s, at in by_source.items()}
+    live, all_words = {s: n for s, n in total.items() if n}, sum(words)
+    mixture = lambda x: (lambda z: {s: (n / all_words) ** x / z for s, n in live.items()})(sum((n / all_words) ** x for n in live.values()))
+    entropy = lambda x: -sum(w * math.log(w) for w in mixture(x).values()) / math.log(len(live))
+    repeats = lambda x: max(mixture(x)[s] * all_words / n for s, n in live.items())
+
+    def edge(holds, low, high):  # holds at low and not at high, or nowhere
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if holds(middle) else (low, middle)
+        return low
+
+    x = 1.0
+    if len(live) > 1:
+        x = 1.0 if entropy(1.0) >= target else edge(lambda v: entropy(v) >= target, 0.0, 1.0)
+        if repeats(x) > most:
+            x = max(x, 1 - edge(lambda v: repeats(1 - v) <= most, 0.0, 1.0))
+    weights, out = mixture(x), [0] * len(rows)
+    for s, at in by_source.items():
+        if not total[s]:
+            blocks, rest = 1, -1
+        else:
+            part = weights[s] * all_words
+            blocks = int(part / total[s] + 1e-6)
+            rest = part - blocks * total[s]
+        spent = 0
+        for i in sorted(at, key=lambda i: (rows[i]["order"][blocks], rows[i]["doc_id"], words[i])):
+            out[i] = blocks + (spent + words[i] <= rest)
+            spent += words[i]
+    return out, weights
+
+
+def test_copies_against_brute_force(spark):
+    """Every row's copies, on a skewed table with a tiny source, a null source and texts without words."""
+    rng = random.Random(11)
+    data, at = [], 0
+    for source, n in (("hot", 90), ("mid", 25), ("small", 8), ("tiny", 1), (None, 5), ("empty", 2)):
+        for _ in range(n):
+            text = None if source == "empty" else " ".join("w" for _ in range(rng.randint(0, 40) if source != "tiny" else 7))
+            data.append((at, text, source))
+            at += 1
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    order = F.array(*(F.shiftrightunsigned(F.xxhash64(F.lit(0), F.lit(b).cast("long"), F.col("doc_id")), 4) for b in range(60)))
+    rows = df.select("*", order.alias("order")).collect()
+    for target, most in ((0.95, 4.0), (0.6, 4.0), (0.99, 50.0)):
+        want, weights = brute_copies(rows, target, most)
+        got = {r["doc_id"]: (r["_copies"], r["_weight"]) for r in M.mix(df, target, most).collect()}
+        assert {r["doc_id"]: n for r, n in zip(rows, want, strict=True)} == {d: c for d, (c, _) in got.items()}
+        for r in rows:
+            assert math.isclose(got[r["doc_id"]][1], weights.get(r["source"], 0.0), abs_tol=1e-6)
