@@ -12,7 +12,7 @@ pages that `labelled_pages` composes: semantic and div-only layouts, menus, head
 footers, sidebars, notices, adverts, forms, reader comments, unclosed tags.
 
 Classes, ids and roles are read token by token; a token's last word that tells
-something speaks for it, and tokens of the page (`has-sidebar`, `tag-news`) or on
+of furniture speaks for it, or else one that tells of content, and tokens of the page (`has-sidebar`, `tag-news`) or on
 `html` and `body` say nothing.  What an element is called gives way to what it holds:
 where a telling name stands on or above a marked article with half of the page's
 words outside links, the name is not a feature, and the element counts as its box.
@@ -106,8 +106,8 @@ def _groups(attrs: str) -> tuple[frozenset[str], int | None]:
                 if len(words) > 1 and words[0] in _ASIDE:
                     continue
                 telling = [_GROUP[w] for w in words if w in _GROUP and (len(words) == 1 or w not in _SHAPE)]
-                if telling:
-                    found.add(telling[-1])
+                if telling:  # the content of a comment is comment, whatever its last word says
+                    found.add(next((g for g in reversed(telling) if g != "main"), "main"))
         elif name in ("hidden", "aria-hidden") and value != "false" or name == "style" and "display:none" in value.replace(" ", "").lower():
             found.add("hidden")
         elif name == "data-y":
@@ -479,7 +479,7 @@ def _junk(rng: random.Random, kind: str) -> str:
     if kind == "share":
         return _box(rng, "div", ["share", "social", "share-tools", "tags"], _links(rng, 2, 4), 0)
     n = rng.randint(1, 5)
-    one = lambda: f'<{(t := rng.choice(["div", "li", "article", "div"]))}{rng.choice([" class=comment", " class=reply", ""])}>' + rng.choice(["", f"<b>{_words(rng, 1, 2)}</b> ", f"<h4>{_words(rng, 1, 2)}</h4>", f"<cite>{_words(rng, 1, 2)}</cite>"]) + rng.choice([f"<p>{s(1, 5)}</p>", s(1, 5)]) + f"</{t}>"
+    one = lambda: f'<{(t := rng.choice(["div", "li", "article", "div"]))}{rng.choice([" class=comment", " class=reply", ""])}>' + rng.choice(["", f"<b>{_words(rng, 1, 2)}</b> ", f"<h4>{_words(rng, 1, 2)}</h4>", f"<cite>{_words(rng, 1, 2)}</cite>"]) + rng.choice([f"<p>{s(1, 5)}</p>", s(1, 5), f"<div class={rng.choice(['comment-content', 'comment-body', 'content', 'text', 'body'])}><p>{s(1, 5)}</p></div>"]) + f"</{t}>"
     return _box(rng, "section" if rng.random() < 0.5 else "div", ["comments", "comment-list", "respond", "discussion", "reader-comments", "responses"], rng.choice(["", f"<h3>{_words(rng, 1, 3)}</h3>"]) + "".join(one() for _ in range(n)), 0, bare=-1)
 
 
