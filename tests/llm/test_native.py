@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 from lakesearch.llm import licenses, lines
 
@@ -25,6 +26,29 @@ def test_labels(spark):
     assert got[8]["labels"] == "apache" and got[9]["labels"] == ""
 
 
+def test_names_and_identifiers(spark):
+    texts = {
+        1: "// SPDX-License-Identifier: Apache-2.0", 2: "SPDX-License-Identifier: GPL-2.0-or-later", 3: "SPDX-License-Identifier: Proprietary", 4: "Distributed under the Boost Software License, Version 1.0.",
+        5: "Mozilla Public License Version 2.0", 6: "the GNU Affero General Public License", 7: "SPDX-License-Identifier: CC-BY-SA-4.0", 8: "Licensed under the Apple License", 9: "the mozilla public library",
+    }
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: "apache", 2: "gpl", 3: "", 4: "bsl", 5: "mpl", 6: "agpl,gpl", 7: "cc-by-sa", 8: "", 9: ""}
+
+
+def test_words_and_equal_rows(spark, monkeypatch):
+    """Words counted against Python's own, at both ends of the text and beyond ASCII; equal rows all come back."""
+    monkeypatch.setattr(licenses, "BLOCK", 3)
+    texts = ["", None, " ", "a", " a", "a ", " a b ", "\u212ait License", "mit \u00c9t\u00e9 license", "MIT License", "..mit license..", "\u0130mit license mit\nlicense", "x" * 50 + " mit" + " license" * 3]
+    rows = [(i % 4 or None, t) for i, t in enumerate(texts)] + [(9, " mit license")] * 7 + [(None, None)] * 4
+    want = []
+    for key, t in rows:
+        w = re.findall(licenses.WORD, (t or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER)))
+        at = [i for i in range(len(w) - 1) if w[i : i + 2] == ["mit", "license"]]
+        want.append((key, len(w), len(at), at[0] if at else None, at[-1] if at else None, "mit" if at else "", 0.5 if at else 0.0))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "labels", "score").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def distance_at_most_one(a, b):
     if a == b:
         return True
