@@ -8,8 +8,10 @@ keyed by canonical URL.  `webfetch` pages through snapshots.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,28 @@ def resolve(settings: Settings, *, sites: list[str] | None = None, include_domai
     return SearchSpec(tuple(wanted), tuple(excluded), below, mode, limit or settings.search.limit, offset, evidence_mode, results)
 
 
+def refusals(requests: DataFrame, key: str, settings: Settings | None = None) -> DataFrame:
+    """key and why `resolve` refuses the request (null if it does not), for rows whose columns are its options; null is not given."""
+    options = [c for c in requests.columns if c != key]
+    limits = settings or Settings()
+
+    def one(row: tuple[object, ...]) -> str | None:
+        given = {k: v for k, v in zip(options, row, strict=True) if v is not None}
+        try:
+            resolve(limits, **given)
+        except InvalidArgument as why:
+            return str(why)
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in options), strict=True) if options else [()] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([one(r) for r in rows], pa.string())], names=[key, "refused"])
+
+    ship(requests.sparkSession)
+    return requests.mapInArrow(run, f"{key} {requests.schema[key].dataType.simpleString()}, refused string")
+
+
 def _domain(name: str) -> str:
     host = name.lower().removesuffix(".")
     labels = host.split(".")

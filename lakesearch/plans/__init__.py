@@ -1,3 +1,3 @@
 """The registered queries, by family."""
 
-from . import evidence, flows, operations, ranking, texts, webpages
+from . import evidence, flows, operations, ranking, specifications, texts, webpages

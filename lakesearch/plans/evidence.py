@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import evidence as E
 from ..operators import passages as P
 from ..operators import segments as S
-from ..registry import query
+from ..registry import ORACLE_SQL, query
 from ..sources.tables import table
 from . import ranking as K
 
@@ -115,7 +115,14 @@ def select_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _passages(spark, sf_dir)
 
 
-@query("W05_budgeted_merge")
+_MERGED = f"""with recursive w as (select doc_id, from_char, to_char, row_number() over (partition by doc_id order by from_char, to_char) as i from ({ORACLE_SQL["W04_context_windows"]}) x),
+r(doc_id, i, a, b, part) as (select doc_id, i, from_char, to_char, 1 from w where i = 1 union all
+ select w.doc_id, w.i, case when from_char <= b and greatest(b, to_char) - a <= {MOST} then a else from_char end, case when from_char <= b and greatest(b, to_char) - a <= {MOST} then greatest(b, to_char) else to_char end, case when from_char <= b and greatest(b, to_char) - a <= {MOST} then part else part + 1 end
+ from r join w on w.doc_id = r.doc_id and w.i = r.i + 1)
+select doc_id, min(a)::bigint as from_char, max(b)::bigint as to_char from r group by doc_id, part"""
+
+
+@query("W05_budgeted_merge", _MERGED)
 def budgeted_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context windows of a document merged as long as the union fits: a fold over each document's sorted windows."""
     import pandas as pd

@@ -123,7 +123,7 @@ def sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_sha256"), F.concat(F.lit("source_"), F.sha2("source", 256)).alias("source_id"))
 
 
-@query("X10_fingerprint")
+@query("X10_fingerprint", """select item_id, sha256('{"version":"lakesearch-1","query":' || to_json(text) || ',"ranking":"bm25","evidence":"paragraph_context_v2"}') as fingerprint from benchmark""")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = F.struct(F.lit("lakesearch-1").alias("version"), F.col("text").alias("query"), F.lit("bm25").alias("ranking"), F.lit("paragraph_context_v2").alias("evidence"))
     return table(spark, sf_dir, "benchmark").select("item_id", F.sha2(F.to_json(spec), 256).alias("fingerprint"))

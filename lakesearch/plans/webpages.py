@@ -87,7 +87,9 @@ def public_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("page_id")).agg(F.bool_and(U.is_public_address(ip)).alias("all_public"))
 
 
-@query("X14_address_range")
+@query("X14_address_range", """select event_id, case when a = 127 then 'loopback' when a = 169 and b = 254 then 'link_local' when a between 224 and 239 then 'multicast'
+when a in (0, 10) or a >= 240 or (a = 172 and b between 16 and 31) or (a = 192 and b in (0, 168)) or (a = 198 and b in (18, 19)) then 'private' when a = 100 and b between 64 and 127 then 'special' else 'unicast' end as range
+from (select event_id, event_id % 256 as a, user_id % 256 as b from events) x""")
 def address_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     ip = F.concat_ws(".", (F.col("event_id") % 256).cast("string"), (F.col("user_id") % 256).cast("string"), F.lit("0"), F.lit("1"))
     return table(spark, sf_dir, "events").select("event_id", U.address_range(ip).alias("range"))

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import dataclasses
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 class InvalidArgument(ValueError):
     """A specification that cannot be run."""
@@ -76,3 +82,23 @@ def load(patch: dict[str, Any] | None = None) -> Settings:
     if s.ranking_mode not in ("upstream", "bm25", "bm25_mmr"):
         raise InvalidArgument(f"no ranking mode {s.ranking_mode}")
     return s
+
+
+def patched(patches: DataFrame, key: str) -> DataFrame:
+    """key, refused (why, or null) and settings (JSON, or null) of rows with a `patch` in JSON; a null one changes nothing."""
+
+    def one(patch: str | None) -> tuple[str | None, str | None]:
+        try:
+            given = json.loads(patch) if patch is not None else {}
+            if not isinstance(given, dict):
+                raise InvalidArgument("a patch is an object")
+            return None, json.dumps(dataclasses.asdict(load(given)), separators=(",", ":"))
+        except ValueError as why:  # what is no JSON, too
+            return str(why), None
+
+    @F.pandas_udf("refused string, settings string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame([one(p) for p in part], columns=["refused", "settings"])
+
+    return patches.select(key, run("patch").alias("_done")).select(key, "_done.refused", "_done.settings")

@@ -60,3 +60,19 @@ def test_fetch(spark):
     assert [(s["id"], s["start_char"], s["end_char"]) for s in got[0]["segments"]] == [("segment_1", 0, 5), ("segment_2", 5, 7)]
     with pytest.raises(settings.InvalidArgument):
         api.webfetch(settings.load(), spark.createDataFrame([("u", "t")], "url string, text string"), 60_000)
+
+
+def test_refusals_of_rows(spark):
+    rows = [(1, ["a.example.com"], None, None), (1, ["a.example.com"], ["b.example.com"], None), (None, None, None, 3), (4, ["nohost"], None, None), (5, [], None, None)]
+    df = spark.createDataFrame(rows, "id long, sites array<string>, include_domains array<string>, max_evidence_results int")
+    got = sorted(map(tuple, api.refusals(df, "id").collect()), key=str)
+    assert got == sorted([(1, None), (1, "use sites or include_domains, not both"), (None, "max_evidence_results and fetch_engine need evidence_mode extract"), (4, "'nohost' is no registrable host name"), (5, None)], key=str)
+    assert api.refusals(df.limit(0), "id").collect() == []
+
+
+def test_patches_of_rows(spark):
+    df = spark.createDataFrame([(1, None), (2, '{"fetch":{"max_chars":7}}'), (3, "[]"), (4, "{"), (5, '{"ranking_mode":"x"}')], "id long, patch string")
+    got = {r["id"]: (r["refused"], r["settings"]) for r in settings.patched(df, "id").collect()}
+    assert got[1][0] is None and '"max_chars":12000' in got[1][1] and got[2][0] is None and '"max_chars":7,' in got[2][1]
+    assert got[3] == ("a patch is an object", None) and got[4][0] and got[4][1] is None and got[5] == ("no ranking mode x", None)
+    assert settings.patched(df.limit(0), "id").collect() == []
