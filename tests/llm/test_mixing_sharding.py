@@ -182,3 +182,9 @@ def test_copies_against_brute_force(spark):
         assert {r["doc_id"]: n for r, n in zip(rows, want, strict=True)} == {d: c for d, (c, _) in got.items()}
         for r in rows:
             assert math.isclose(got[r["doc_id"]][1], weights.get(r["source"], 0.0), abs_tol=1e-6)
+
+
+def test_tokens_are_runs_of_other_characters(spark):
+    texts = [None, "", " ", "\t\n\x0b\x0c\r ", "a", " a", "a ", "a\x0bb\x0cc\rd  e\tf\n", "\u00a0 \u2003 \x1c", "  \u6c49\u5b57 \U0001f600\n\n\x00 ", "a" * 5000 + " b" * 5000]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", M.n_tokens(F.col("text")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
