@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lakesearch.llm import common, decontaminate, dedup, mixing, quality, sharding
@@ -22,15 +24,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of op8's mixture, each once: a source whose weight is below its share of all tokens loses the
-    difference, and the others are whole.  The budget is all tokens and no weight is over four times its share, so a
-    tiny source shrinks nothing."""
-    return mixing.realise(docs, repeat=False)
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str, repeat: bool = False) -> DataFrame:
+    """op8's mixture.  With `repeat`, as the pipeline takes it, each document stands there as often as it has copies, at
+    most four whole blocks, and its rows are alike; without, each document of the mixture stands there once.  The budget
+    is all tokens and no weight is over four times its share, so a tiny source shrinks nothing."""
+    return mixing.realise(docs, repeat=repeat)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its shard and its slot there."""
+    """Each row with its shard and its slot there; the copies of a document get slots of their own."""
     done = sharding.shard(docs.drop("shard", "slot"))
     return done.withColumnsRenamed({"_shard": "shard", "_slot": "slot"})
 
@@ -39,7 +41,7 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
     ("decontamination", decontamination),
-    ("source_mixing", source_mixing),
+    ("source_mixing", partial(source_mixing, repeat=True)),
     ("sharding", shards),
 ]
 

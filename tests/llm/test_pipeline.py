@@ -52,3 +52,29 @@ def test_a_tiny_source_shrinks_nothing(spark):
     want = {s: min(n, weights(x)[s] * total) for s, n in sizes.items()}
     assert len(ids) == len(set(ids)) and all(want[s] - 2 <= kept[s] <= want[s] + 1 for s in sizes)
     assert all(kept[s] == n for s, n in sizes.items() if s != "hot")
+
+
+def test_the_mixture_repeats_small_sources(spark):
+    """The stage gives the whole mixture: tokens in proportion to the weights, small sources repeated, a slot for each copy."""
+    sizes = {"hot": 950, **{f"s{i:02}": 100 for i in range(19)}, None: 1}
+    rows = [(s, k) for s, n in sizes.items() for k in range(n)]
+    docs = spark.createDataFrame([(i, s, "w " * 5) for i, (s, _) in enumerate(rows)], "doc_id long, source string, text string")
+    stages = dict(P.STAGES)
+    mixed = stages["source_mixing"](spark, docs, SF)
+    copies = collections.Counter(r["doc_id"] for r in mixed.collect())
+    total = len(rows)
+    weights = lambda x: {s: (n / total) ** x / sum((m / total) ** x for m in sizes.values()) for s, n in sizes.items()}
+    x = min(x for x in (k / 10_000 for k in range(10_001)) if max(w * total / sizes[s] for s, w in weights(x).items()) <= 4)  # the tiny source's four copies bind
+    spent = collections.Counter()
+    for i, n in copies.items():
+        spent[rows[i][0]] += n
+    assert copies[total - 1] == 4 and max(copies.values()) == 4
+    assert all(abs(spent[s] - weights(x)[s] * total) <= 2 for s in sizes if s is not None)
+    for s, n in sizes.items():  # whole blocks and a part of the next
+        own = [copies[i] for i, (t, _) in enumerate(rows) if t == s]
+        assert max(own) - min(own) <= 1 and (s == "hot" or min(own) >= 1)
+    out = stages["sharding"](spark, mixed, SF).collect()
+    assert collections.Counter(r["doc_id"] for r in out) == copies
+    for s in range(8):
+        slots = sorted(r["slot"] for r in out if r["shard"] == s)
+        assert slots == list(range(len(slots))) and abs(len(slots) - len(out) / 8) < 1
