@@ -158,9 +158,9 @@ def learn(docs: DataFrame, trains: Column, per_label: int = PER_LABEL, text: str
     share = F.create_map(*(F.lit(x) for r in found for x in (r["y"], max(min(1.0, per_label / r["n"]), r["least"]))))
     room = F.greatest(F.length(text) - EXCERPT, F.lit(0)) + 1
     passage = F.substring(F.col(text), (F.pmod(F.xxhash64(F.lit(18), F.col(text)), room) + 1).cast("int"), F.lit(EXCERPT))
-    drawn = rows.where(draw <= share[F.col(label)]).select(draw.alias("k"), F.col(label).alias("y"), passage.alias("t"))
+    drawn = rows.where(draw <= share[F.col(label)]).select(F.col(key).alias("id"), draw.alias("k"), F.col(label).alias("y"), passage.alias("t"))
     # equal rows are drawn together, so different ones are taken, and their number follows per_label whatever repeats
-    sample = drawn.distinct().toPandas().sort_values(["k", "y", "t"], kind="stable")
+    sample = drawn.distinct().toPandas().sort_values(["id", "k", "y", "t"], kind="stable")
     texts = [bytes(C.LOWER[np.frombuffer(t.encode("utf-8", "replace"), np.uint8)]) for t in sample.t]
     return train(texts, sample.y.tolist())
 
